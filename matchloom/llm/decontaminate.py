@@ -14,12 +14,13 @@ repeated documents each get rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -234,17 +235,22 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
     out = docs
     for block in _blocks(benchmark, item_id, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(_index(docs, block, text, seed_words, rare_share))
+        out = out.where(_clean(shared, seed_words, threshold)(out[text].cast("string")))
+    return out
 
-        @F.arrow_udf("boolean")
-        def clean(columns: Iterator[pa.Array], shared=shared) -> Iterator[pa.Array]:  # noqa: ANN001
-            hasher, index = WordHasher(), shared.value
-            for column in columns:
-                raws = raw_texts(column)
-                fine = np.ones(len(raws), dtype=bool)
-                for lo, hi in spans((len(r or b"") for r in raws), CHUNK_BYTES):
-                    for found in matches(index, hasher, raws[lo:hi], seed_words, threshold):
-                        fine[lo + found[0]] = False
-                yield pa.array(fine)
 
-        out = out.where(clean(out[text].cast("string")))
-    return out
+def _clean(shared: Broadcast, seed_words: int, threshold: float) -> Callable[[Column], Column]:
+    """A function that tells which texts hold no item."""
+
+    @F.arrow_udf("boolean")
+    def clean(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        hasher, index = WordHasher(), shared.value
+        for column in columns:
+            raws = raw_texts(column)
+            fine = np.ones(len(raws), dtype=bool)
+            for lo, hi in spans((len(r or b"") for r in raws), CHUNK_BYTES):
+                for found in matches(index, hasher, raws[lo:hi], seed_words, threshold):
+                    fine[lo + found[0]] = False
+            yield pa.array(fine)
+
+    return clean
