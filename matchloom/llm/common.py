@@ -117,6 +117,8 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
 
 #: Bytes to bytes: A-Z in lower case, what is neither a letter, a digit nor outside ASCII to a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+#: Bytes to bytes: ASCII white space to a space.
+SPACED = bytes(32 if b in b" \t\n\v\f\r" else b for b in range(256))
 
 
 class Memo:
@@ -149,10 +151,10 @@ class WordHasher:
 
     _P = 0x9E3779B97F4A7C13
 
-    def __init__(self) -> None:
-        self.table = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
-        self.is_word = np.frombuffer(FOLD, dtype=np.uint8) != 32
-        self.table = np.where(self.is_word, self.table[np.frombuffer(FOLD, dtype=np.uint8)], np.uint64(0))
+    def __init__(self, fold: bytes = FOLD) -> None:
+        to = np.frombuffer(fold, dtype=np.uint8)
+        self.is_word = to != 32
+        self.table = np.where(self.is_word, (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1))[to], np.uint64(0))
         self.powers = self.inverse = np.ones(1, dtype=np.uint64)
 
     def _grow(self, n: int) -> None:
@@ -165,10 +167,15 @@ class WordHasher:
 
     def of(self, raws: Iterable[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the words of all texts one after the other, and where each text starts (one entry more than texts)."""
+        return self.places(raws)[:2]
+
+    def places(self, raws: Iterable[bytes | None]) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]:
+        """As `of`, and the texts joined by spaces with each word's first byte and the byte after its last."""
         parts = [r or b"" for r in raws]
         offsets = np.zeros(len(parts) + 1, dtype=np.int64)
         np.cumsum(np.fromiter((len(r) + 1 for r in parts), dtype=np.int64, count=len(parts)), out=offsets[1:])
-        data = np.frombuffer(b" ".join(parts) + b" ", dtype=np.uint8)
+        joined = b" ".join(parts) + b" "
+        data = np.frombuffer(joined, dtype=np.uint8)
         self._grow(len(data))
         sums = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum(self.table[data] * self.powers[: len(data)], out=sums[1:])
@@ -176,4 +183,4 @@ class WordHasher:
         inside[1:] = self.is_word[data]
         edges = np.flatnonzero(inside[1:] != inside[:-1])  # the last byte is a space, so starts and ends alternate
         first, last = edges[::2], edges[1::2]
-        return mix((sums[last] - sums[first]) * self.inverse[first]), np.searchsorted(first, offsets)
+        return mix((sums[last] - sums[first]) * self.inverse[first]), np.searchsorted(first, offsets), joined, first, last

@@ -17,6 +17,7 @@ gives no rows; null ids stay null.
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import re
 import zlib
@@ -29,15 +30,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import by_chunk, fresh, small_batches, stage
+from matchloom.llm.common import SPACED, WordHasher, by_chunk, fresh, small_batches, stage
 
 SEQ_LEN, END = 4096, 1
 #: Texts with these go to the tokenizer whole: white space on which libraries differ, and special tokens.
 _WHOLE = (b"<|", b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 #: A word of Latin-1 letters and then punctuation: the tokenizer cuts it between them, and its lower case is Python's.
 _SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
-#: Words whose ids a worker remembers: with their parts about 200 MB.
-CACHE_WORDS = 700_000
+#: Fixed value: how a tokenizer must cut texts for its words to be remembered.
+_CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words whose ids a worker remembers: about 60 MB.
+CACHE_WORDS = 1_500_000
 #: Rows of the final plan (runs of pieces) that a broadcast may have; beyond, it is joined. Rounds give at most about 150,000; range partitions add theirs.
 MAX_BROADCAST_RUNS = 2_000_000
 
@@ -45,51 +48,96 @@ MAX_BROADCAST_RUNS = 2_000_000
 class Tokens:
     """Ids of texts, as little-endian unsigned 32-bit numbers.
 
-    The tokenizer cuts texts at white space before anything else, so a word's ids don't depend on its neighbours and are remembered:
-    up to CACHE_WORDS words; when there are more, those seen only once since the last time are forgotten.
+    A tokenizer that cuts texts at white space before anything else, into words whose last token is marked, gives a word the same ids
+    whatever its neighbours; so words' ids are remembered by the words' 64-bit hashes, up to CACHE_WORDS words. When there are more, those seen
+    in one chunk only since the last time are forgotten. New words of letters go through the same merges without the normaliser, which leaves them as they are,
+    many in one call; the marks tell where each ends. Other tokenizers get whole texts.
     """
 
     def __init__(self, path: str, most: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.known: dict[bytes, bytes] = {}
-        self.again: set[bytes] = set()
-        self.parts: dict[str, bytes] = {}
-
-    def _encode(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _learn(self, seen: set[bytes]) -> None:
-        new = seen.difference(self.known)
-        if len(self.known) + len(new) > self.most:
-            kept = self.again.union(seen) if len(self.again) < self.most // 2 else seen
-            self.known = {w: self.known[w] for w in kept if w in self.known}
-            self.again = set()
-        elif len(self.known) > self.most // 2:
-            self.again.update(seen.intersection(self.known))
-        parts = {}
-        for w in new:
+        self.hasher = WordHasher(SPACED)
+        self.hashes, self.flat = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype="<u4")
+        self.offsets, self.lengths, self.used = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
+        form = json.loads(self.tokenizer.to_str())
+        steps = [(x["type"], x.get("behavior"), x.get("invert"), x.get("use_regex")) for x in (form["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        cuts = [x["pattern"].get("Regex") for x in (form["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"]
+        self.by_word = steps == [("Split", "Removed", True, None), ("ByteLevel", None, None, False)] and cuts == [_CUT] and form["model"].get("end_of_word_suffix") == "</w>" and [x["type"] for x in (form["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        if self.by_word:
+            self.plain = Tokenizer.from_file(path)
+            self.plain.normalizer = normalizers.Sequence([])
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            vocabulary = self.tokenizer.get_vocab()
+            self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+            self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        """Remember the ids of words, whose hashes are in order and new."""
+        parts, cores = [], set()
+        for w in words:
             m = _SIMPLE.fullmatch(t := w.decode("utf-8", "replace"))
-            parts[w] = (m[1].lower(), m[2]) if m else (t, "")
-        if len(self.parts) > self.most:
-            self.parts = {}
-        missing = list({p for pair in parts.values() for p in pair}.difference(self.parts))
-        found = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-        self.parts.update(zip(missing, [np.array(e.ids, dtype="<u4").tobytes() for e in found], strict=True))
-        get = self.parts.__getitem__
-        self.known.update((w, get(a) + get(b)) for w, (a, b) in parts.items())
+            parts.append((m[1].lower(), m[2]) if m else (t, ""))
+            if m:
+                cores.add(parts[-1][0])
+        letters, rest = list(cores), list({p for pair in parts for p in pair}.difference(cores))
+        ids = dict(zip(letters, self._letters(letters), strict=True))
+        ids.update(zip(rest, [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)], strict=True))
+        made = [ids[a] + ids[b] for a, b in parts]
+        lengths = np.fromiter(map(len, made), dtype=np.int64, count=len(made)) // 4
+        at = np.searchsorted(self.hashes, hashes)
+        self.offsets = np.insert(self.offsets, at, len(self.flat) + np.cumsum(lengths) - lengths)
+        self.hashes, self.lengths, self.used = np.insert(self.hashes, at, hashes), np.insert(self.lengths, at, lengths), np.insert(self.used, at, 0)
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(made), dtype="<u4")])
+
+    def _forget(self) -> None:
+        keep = self.used > 1
+        if keep.sum() > self.most // 2:
+            keep[:] = False
+        self.flat = self._gather(self.offsets[keep], self.lengths[keep])
+        self.hashes, self.lengths = self.hashes[keep], self.lengths[keep]
+        self.offsets, self.used = np.cumsum(self.lengths) - self.lengths, np.zeros(len(self.hashes), dtype=np.int32)
+
+    def _gather(self, offsets: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        return self.flat[np.repeat(offsets - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())]
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of lower-case Latin-1 letters, five hundred in a call."""
+        if not words:
+            return []
+        lines = [" ".join(words[i : i + 500]) for i in range(0, len(words), 500)]
+        ids = np.concatenate([np.zeros(0, dtype="<u4"), *(np.array(e.ids, dtype="<u4") for e in self.plain.encode_batch_fast(lines, add_special_tokens=False))])
+        ends = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
+        if len(ends) != len(words):
+            raise ValueError("a word has not one last token")
+        data = ids.astype("<u4").tobytes()
+        return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def of(self, raws: list[bytes | None]) -> list[bytes]:
-        cut = [None if raw and any(x in raw for x in _WHOLE) else (raw or b"").split() for raw in raws]
-        seen: set[bytes] = set()
-        for words in cut:
-            if words:
-                seen.update(words)
-        self._learn(seen)
-        get = self.known.__getitem__
-        return [self._encode(raw.decode("utf-8", "replace")) if words is None else b"".join(map(get, words)) for raw, words in zip(raws, cut, strict=True)]
+        whole = {i: self._encode(raw.decode("utf-8", "replace")) for i, raw in enumerate(raws) if raw and (not self.by_word or any(x in raw for x in _WHOLE))}
+        hashes, starts, joined, first, last = self.hasher.places(b"" if i in whole else raw for i, raw in enumerate(raws))
+        distinct, which = np.unique(hashes, return_inverse=True)
+        if len(self.hashes) + len(distinct) > self.most:
+            self._forget()
+        at = np.minimum(np.searchsorted(self.hashes, distinct), max(0, len(self.hashes) - 1))
+        new = np.flatnonzero(self.hashes[at] != distinct) if len(self.hashes) else np.arange(len(distinct))
+        if len(new):
+            some = np.zeros(len(distinct), dtype=np.int64)
+            some[which] = np.arange(len(which))  # a place where each word stands
+            some = some[new]
+            self._learn(distinct[new], [joined[a:b] for a, b in zip(first[some].tolist(), last[some].tolist(), strict=True)])
+            at = np.searchsorted(self.hashes, distinct)
+        if len(at):
+            self.used[at] += 1
+        lengths = self.lengths[at][which]
+        ids = self._gather(self.offsets[at][which], lengths)
+        ends = np.concatenate([[0], np.cumsum(lengths)])[starts].tolist()
+        return [(whole[i] if i in whole else ids[ends[i] : ends[i + 1]]).tobytes() for i in range(len(raws))]
 
 
 def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seq_len: int = SEQ_LEN, end: int | None = END, path: str | None = None, with_ids: bool = False) -> DataFrame:
