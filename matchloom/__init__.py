@@ -1,0 +1 @@
+"""Entity resolution on Spark: link records of one table to those of two others."""
