@@ -9,9 +9,10 @@ k ln k + 2k a text however long. The earliest dart of each coordinate is its sig
 with the probability of their similarity. A text with an empty coordinate is thrown again to twice the rank.
 
 Texts that agree in all values of a band are candidates. Equal texts are one node from the start. In each bucket every node is paired
-with the bucket's least node; pairs are verified on all their elements; what is verified is joined to components. Then, in buckets
-that hold several components, pairs of nodes of different components are verified too, so no candidate link is left out while a bucket
-of one large group costs no more than its size. With 28 bands of 5 values a pair of similarity 0.8 escapes with a probability of 1.5e-5.
+with the bucket's least node; pairs are verified on all their elements; what is verified is joined to components. Buckets that hold
+several components try other centers a few times. The nodes of those that still do are then joined by the rarest of their elements (a
+prefix join, which finds every link between components), so no link is left out, while a bucket of one large group, or of texts that share a
+passage and little else, costs no more than its size. With 28 bands of 5 values a pair of similarity 0.8 escapes with a probability of 1.5e-5.
 
 Defined results: null texts are a class each; empty texts and texts without a word are grouped only with equal texts; a class is named by
 its least doc_id (null if it has none); repeated rows are copies; extra columns don't matter.
@@ -30,6 +31,8 @@ from matchloom.llm.common import WordHasher, by_chunk, fresh, mix, ngram_hashes,
 from matchloom.llm.graph import components
 
 WORDS, SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 28, 5
+#: Times that buckets of several components try other centers.
+MERGING_ROUNDS = 2
 #: Rows of (digest, node) that may be broadcast: about 40 bytes each. Beyond, tables are joined by shuffle.
 MAX_BROADCAST_ROWS = 500_000
 #: Digests that a task remembers so as to sign a copied text once; forgetting only costs time.
@@ -201,17 +204,60 @@ def links(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY, w
         return both.select("a", "b", (common / (F.size("of_a") + F.size("of_b") - common)).alias("similarity")).where(F.col("similarity") >= similarity)
 
     good = stage(verified(tried))
-    named = components(good)
-    # Buckets with several components: pairs of nodes of different ones. Components of one bucket are joined first, so none pairs with itself.
-    place = shared.select("band", "node").join(named, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+    place = stage(_named(shared.select("band", "node"), components(good)))
+    for turn in range(MERGING_ROUNDS):
+        # Buckets that still hold several components try another center, each its own; what is linked joins components.
+        order = F.struct(F.xxhash64("node", "band", F.lit(turn)), F.col("node"), F.col("label"))
+        mixed = place.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min(order).alias("center")).where("least < most")
+        rest = stage(place.join(mixed.select(F.col("band").alias("bucket"), F.col("center.node").alias("center"), F.col("center.label").alias("its")), F.col("band") == F.col("bucket")))
+        pairs = rest.where("label <> its").select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
+        fresh_pairs = stage(pairs.join(tried, ["a", "b"], "left_anti"))
+        found = stage(verified(fresh_pairs))
+        good, tried = good.unionByName(found), tried.unionByName(fresh_pairs)
+        rest = rest.select("band", "node", "label")
+        ends = found.join(_labels(rest, "a"), "a").join(_labels(rest, "b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+        named = components(ends).withColumnRenamed("label", "new")
+        place = stage(rest.join(named.withColumnRenamed("node", "label"), "label", "left").select("band", "node", F.coalesce("new", "label").alias("label")))
     mixed = place.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("band")
-    rest = stage(place.join(mixed, "band", "left_semi"))
-    groups = rest.select("band", "label").distinct()
-    two = groups.select("band", F.col("label").alias("p")).join(groups.select("band", F.col("label").alias("q")), "band").where("p < q")
-    first = two.join(rest.select("band", F.col("label").alias("p"), F.col("node").alias("x")), ["band", "p"])
-    pairs = first.join(rest.select("band", F.col("label").alias("q"), F.col("node").alias("y")), ["band", "q"])
-    untried = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    return nodes.select("digest", "node"), good.unionByName(stage(verified(untried)))
+    rest = stage(place.join(mixed, "band", "left_semi").select("node", "label").distinct())
+    untried = _prefix_pairs(lists.join(rest, "node"), similarity).join(tried, ["a", "b"], "left_anti")
+    return nodes.select("digest", "node"), good.unionByName(stage(verified(stage(untried))))
+
+
+def _prefix_pairs(rows: DataFrame, t: float) -> DataFrame:
+    """Pairs (a, b) of rows(node, elements, label) with different labels, among them all whose sets have a similarity of t or more.
+
+    Elements are ordered by how many rows have them. The first common element of such a pair is among the first n - ceil(t * n) + 1 of each
+    row of n elements, and its places leave room for enough others. A longer row looks for shorter ones in the classes of sizes that its
+    element's place allows, so rows that share only what very many have don't meet. The commonest label of a key is kept from meeting itself, so the rows of one large group don't pair.
+    """
+    each = rows.select("node", "label", F.size("elements").alias("n"), F.explode("elements").alias("e"))
+    spread = each.groupBy("e").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    in_order = each.join(spread, "e").groupBy("node", "label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "e", (F.col("lo") < F.col("hi")).alias("mixed")))).alias("es"))  # a row's own elements
+    slack = 1e-9
+    first = stage(in_order.select("node", "label", "n", F.posexplode("es").alias("i", "x")).where((F.col("i") <= F.col("n") - F.ceil(t * F.col("n") - slack)) & F.col("x.mixed")).select("node", "label", "n", "i", F.col("x.e").alias("e")))
+    size_class = lambda c: F.floor(F.log(c.cast("double")) / F.log(F.lit(1.05))).cast("int")
+    least, most = F.ceil(t * F.col("n") - slack), F.least(F.col("n").cast("long"), F.floor((F.col("n") - F.col("i")) * (1 + t) / t - F.col("n") + slack))
+    shorter = first.select("e", size_class(F.col("n")).alias("c"), "label", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("i").alias("j"))
+    longer = first.where(most >= least).select("e", F.explode(F.sequence(size_class(least), size_class(most))).alias("c"), F.col("label").alias("its"), F.col("node").alias("x"), F.col("n").alias("nx"), "i")
+    # The label that most rows of a key have never meets itself: 1 is that against others, 2 others against that, 3 others among themselves.
+    often = shorter.select("e", "c", "label").union(longer.select("e", "c", "its")).groupBy("e", "c", "label").agg(F.count("*").alias("k")).groupBy("e", "c").agg(F.max_by("label", F.struct("k", "label")).alias("top"))
+    roles = lambda name, mine, theirs: F.explode(F.when(F.col(name) == F.col("top"), F.array(F.lit(mine))).otherwise(F.array(F.lit(theirs), F.lit(3)))).alias("role")
+    longer = longer.join(often, ["e", "c"]).select("e", "c", "its", "x", "nx", "i", roles("its", 1, 2))
+    shorter = shorter.join(often, ["e", "c"]).select("e", "c", "label", "y", "ny", "j", roles("label", 2, 1))
+    both = longer.join(shorter, ["e", "c", "role"]).where("its <> label")
+    room = F.least(F.col("nx") - F.col("i"), F.col("ny") - F.col("j")) >= t / (1 + t) * (F.col("nx") + F.col("ny")) - slack
+    fits = (F.col("ny") >= t * F.col("nx") - slack) & ((F.col("ny") < F.col("nx")) | ((F.col("ny") == F.col("nx")) & (F.col("y") < F.col("x"))))
+    return both.where(room & fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _named(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows(band, node) with the nodes' labels; a node without a link is its own."""
+    return rows.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+
+
+def _labels(rows: DataFrame, name: str) -> DataFrame:
+    return rows.select(F.col("node").alias(name), F.col("label").alias(f"label_{name}")).distinct()
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options: object) -> DataFrame:
