@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -62,6 +65,24 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
+def give_back() -> None:
+    """Return freed memory to the machine: workers outlive tasks, and what one stage has freed the next may not reuse."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has this
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """work on batches, giving memory back when the task's batches end."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        gc.collect()
+        give_back()
+
+    return run
+
+
 def raw_texts(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, None for null."""
     return column.cast(pa.binary()).to_pylist()
@@ -167,7 +188,14 @@ class WordHasher:
 
     def of(self, raws: Iterable[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the words of all texts one after the other, and where each text starts (one entry more than texts)."""
-        return self.places(raws)[:2]
+        parts = [r or b"" for r in raws]
+        found, starts, n = [np.zeros(0, dtype=np.uint64)], [np.zeros(1, dtype=np.int64)], 0
+        for lo, hi in spans(map(len, parts), 1 << 20):  # a piece's arrays take some forty times its bytes
+            words, at = self.places(parts[lo:hi])[:2]
+            found.append(words)
+            starts.append(at[1:] + n)
+            n += len(words)
+        return np.concatenate(found), np.concatenate(starts)
 
     def places(self, raws: Iterable[bytes | None]) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]:
         """As `of`, and the texts joined by spaces with each word's first byte and the byte after its last."""

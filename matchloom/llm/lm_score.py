@@ -1,65 +1,181 @@
 """Language-model scores by stupid backoff, computed relationally.
 
-Words are the runs of letters and digits of the lower-cased text. Count tables of n-grams up to `order` cover all documents, hash-partitioned by
-n-gram; those of two words or more keep what occurs `min_count` times. A word scores count(n-gram) / count(context) for the longest n-gram
-that ends with it and is kept, times `alpha` for each step of backoff; one word alone scores its share of all words.
+Words are the runs of letters and digits of the lower-cased text. Counts of n-grams up to `order` cover all documents; of those of two words
+or more the model keeps what occurs `min_count` times. A word scores count(n-gram) / count(context) for the longest n-gram that ends with it
+and is kept, times `alpha` for each step of backoff; one word alone scores its share of all words.
 
-The logarithm of a score is that of the one-word score, with all steps of backoff, plus a gain for each longer n-gram that is kept. Gains are
-worked out once for each n-gram, so documents' n-grams meet each table in one join, and sums are combined before they are shuffled.
-Defined results: a null text, or one without a word, has 0 words and null scores; repeated rows are counted, and scored, one by one.
+Documents of a scan partition form blocks of about BLOCK_BYTES. A block's distinct n-grams, with the block's counts (so frequent n-grams
+are combined before the shuffle), are dealt into hash ranges; a range's rows from all blocks make its part of the count table and send each
+block the totals of what it asked for; blocks then meet their totals in a join and sum each document's scores. There are as many ranges
+as keep one in memory, so both sides of a range and of a block are of bounded size, whatever the corpus. Rows carry packed arrays:
+sorted 64-bit hashes of n-grams as differences, and counts.
+
+Defined results: a null text, or one without a word, has 0 words and null scores; repeated rows are counted, and scored, one by one. The table must
+give the same rows in the same partitions when it is read again, as a stored table does; a checksum of each block refuses others.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
+import struct
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import regex
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import stage
+from matchloom.llm.common import FOLD, WordHasher, give_back, ngram_hashes, per_row, small_batches, stage, tidy
 
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
+#: Bytes of text of a block, and of all text for each hash range.
+BLOCK_BYTES, RANGE_BYTES = 6 << 20, 8 << 20
+_OTHER = regex.compile(r"[^\x00-\x7F\p{L}\p{N}]+")
+
+
+def folded(text: str | None) -> bytes:
+    """Lower-cased bytes that FOLD cuts into the text's words."""
+    if not text:
+        return b""
+    if not text.isascii():
+        return _OTHER.sub(" ", text.lower()).encode("utf-8", "replace")
+    return text.encode()
+
+
+def _pack(values: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted hashes as differences (low bytes as they are, the others and the counts compressed)."""
+    import zstandard
+
+    steps = np.diff(values, prepend=np.uint64(0)) if len(values) else values
+    planes = steps.astype("<u8").view(np.uint8).reshape(-1, 8).T
+    rest = zstandard.compress(np.ascontiguousarray(planes[5:]).tobytes() + np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+    return struct.pack("<q", len(values)) + np.ascontiguousarray(planes[:5]).tobytes() + rest
+
+
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    import zstandard
+
+    n = struct.unpack_from("<q", data)[0]
+    low = np.frombuffer(data, dtype=np.uint8, count=5 * n, offset=8).reshape(5, n)
+    rest = np.frombuffer(zstandard.decompress(data[8 + 5 * n :]), dtype=np.uint8)
+    planes = np.concatenate([low, rest[: 3 * n].reshape(3, n)])
+    counts = np.ascontiguousarray(rest[3 * n :].reshape(4, n).T).view("<u4").reshape(-1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=np.uint64), counts
+
+
+def _pack_totals(totals: np.ndarray) -> bytes:
+    import zstandard
 
+    return zstandard.compress(np.ascontiguousarray(totals.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
+def _unpack_totals(data: bytes) -> np.ndarray:
+    import zstandard
 
-def _keys(n: int, first: int = 0) -> list[str]:
-    return [f"w{i}" for i in range(first, n)]
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(8, -1).T).view("<u8").reshape(-1).astype(np.int64)
 
 
-def _window(n: int) -> Callable[[Column], Column]:
-    return lambda i: F.struct(*[F.get("words", i + k).alias(f"w{k}") for k in range(n)])
+class Block:
+    """The n-grams of some documents: for each order the hash of the n-gram that ends with a word, where it has one."""
 
+    def __init__(self, hasher: WordHasher, texts: list[str | None], order: int):
+        self.words, self.starts = hasher.of(map(folded, texts))
+        self.before = np.arange(len(self.words)) - np.repeat(self.starts[:-1], np.diff(self.starts))
+        self.ends = [np.flatnonzero(self.before >= n - 1) for n in range(1, order + 1)]
+        self.hashes = [ngram_hashes(self.words, n)[at - (n - 1)] ^ np.uint64(n) if len(at) else np.zeros(0, dtype=np.uint64) for n, at in enumerate(self.ends, 1)]
+        self.checksum = int(np.bitwise_xor.reduce(self.words)) >> 1 if len(self.words) else 0
 
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT) -> DataFrame:
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct hashes of all orders, and how often each occurs."""
+        every = np.sort(np.concatenate(self.hashes))
+        first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, dtype=np.int64)
+        return every[first], np.diff(np.concatenate([first, [len(every)]]))
+
+    def scores(self, totals: np.ndarray, n_words: int, alpha: float, min_count: int) -> np.ndarray:
+        """The summed logarithm of each document, from the totals of the distinct hashes in order."""
+        step = np.log(alpha)
+        which = np.unique(np.concatenate(self.hashes), return_inverse=True)[1]
+        cuts = np.cumsum([0, *map(len, self.hashes)])
+        deepest = np.minimum(self.before, len(self.hashes) - 1)
+        value, shorter = np.zeros(len(self.words)), None
+        for n, at in enumerate(self.ends):
+            counts = np.zeros(len(self.words), dtype=np.int64)
+            counts[at] = totals[which[cuts[n] : cuts[n + 1]]]
+            if n == 0:
+                value = np.log(np.maximum(counts, 1) / max(1, n_words)) + deepest * step
+            else:
+                kept = np.flatnonzero(counts >= min_count)
+                value[kept] = np.log(counts[kept] / shorter[kept - 1]) + (deepest[kept] - n) * step
+            shorter = counts
+        return per_row(value, self.starts)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, pa.Table]]:
+    """Blocks of consecutive documents, numbered by partition and place."""
+    context = TaskContext.get()
+    base, number, kept, size = (context.partitionId() if context else 0) << 24, 0, [], 0
+    for batch in batches:
+        kept.append(batch)
+        size += batch.column("text").nbytes
+        if size >= most:
+            yield base + number, pa.Table.from_batches(kept)
+            number, kept, size = number + 1, [], 0
+    if kept:
+        yield base + number, pa.Table.from_batches(kept)
+
+
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """doc_id, n_words, log_prob (natural logarithm, summed) and mean_log_prob of every row."""
-    hashed = F.transform(words(docs[text].cast("string")), lambda w: F.xxhash64(w))
-    rows = stage(docs.select(F.monotonically_increasing_id().alias("row"), docs[doc_id].alias("doc_id"), hashed.alias("words")))
-    grams = []
-    for n in range(1, order + 1):
-        window = F.when(F.size("words") >= n, F.transform(F.sequence(F.lit(0), F.size("words") - n), _window(n)))
-        grams.append(rows.select("row", F.explode(window).alias("g")).select("row", "g.*"))
-    tables = [stage(g.groupBy(*_keys(n)).agg(F.count("*").alias("n")).where(F.col("n") >= (min_count if n > 1 else 1))) for n, g in enumerate(grams, 1)]
-    total = tables[0].agg(F.sum("n")).first()[0] or 1
-    step = F.log(F.lit(alpha))
-    gains = [tables[0].select("w0", F.log(F.col("n") / F.lit(float(total))).alias("gain"))]
-    scores = tables[0].select("w0", (F.col("n") / F.lit(float(total))).alias("s"))
-    for n in range(2, order + 1):
-        context = tables[n - 2].select(*_keys(n - 1), F.col("n").alias("of"))
-        shorter = scores.select(*[F.col(f"w{i}").alias(f"w{i + 1}") for i in range(n - 1)], F.col("s").alias("below"))
-        scored = stage(tables[n - 1].join(context, _keys(n - 1)).join(shorter, _keys(n, 1)).select(*_keys(n), (F.col("n") / F.col("of")).alias("s"), "below"))
-        gains.append(scored.select(*_keys(n), (F.log("s") - step - F.log("below")).alias("gain")))
-        scores = scored.select(*_keys(n), "s")
-    sums = [g.join(t, _keys(n)).groupBy("row").agg(F.sum("gain").alias("gain")) for n, (g, t) in enumerate(zip(grams, gains, strict=True), 1)]
-    total_gain = reduce(DataFrame.unionByName, sums).groupBy(F.col("row").alias("of")).agg(F.sum("gain").alias("gain"))
-    n_words = F.coalesce(F.size("words"), F.lit(0)).cast("long")
-    n_words = F.greatest(n_words, F.lit(0).cast("long"))
-    # A word with i words before it takes min(i, order - 1) steps of backoff at most.
-    m = F.least(n_words, F.lit(order - 1))
-    steps = m * (m - 1) / 2 + (n_words - m) * (order - 1)
-    out = rows.select("row", "doc_id", n_words.alias("n_words"), steps.alias("steps")).join(total_gain, F.col("row") == F.col("of"), "left")
-    log_prob = F.when(F.col("n_words") > 0, F.col("gain") + F.col("steps") * step)
-    return out.select("doc_id", "n_words", log_prob.alias("log_prob"), (log_prob / F.col("n_words")).alias("mean_log_prob"))
+    small_batches(docs.sparkSession, 500)
+    kind = docs.schema[doc_id].dataType.simpleString()
+    rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("text"))
+    n_ranges = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // range_bytes))
+    bounds = np.array([-(-(i << 64) // n_ranges) for i in range(n_ranges)], dtype=np.uint64)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher(FOLD)
+        for number, table in _blocks(batches, block_bytes):
+            block = Block(hasher, table["text"].to_pylist(), order)
+            hashes, counts = block.distinct()
+            cuts = [*np.searchsorted(hashes, bounds).tolist(), len(hashes)]
+            for part in range(n_ranges):
+                lo, hi = cuts[part], cuts[part + 1]
+                if hi > lo:
+                    yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([number]), pa.array([block.checksum]), pa.array([len(block.words)]), pa.array([_pack(hashes[lo:hi], counts[lo:hi])])], names=["part", "block", "checksum", "words", "grams"])
+
+    def answer(table: pa.Table) -> pa.Table:
+        asked = [_unpack(x) for x in table["grams"].to_pylist()]
+        _, which = np.unique(np.concatenate([h for h, _ in asked]), return_inverse=True)
+        totals = np.bincount(which, weights=np.concatenate([c for _, c in asked]).astype(np.float64)).astype(np.int64)  # exact below 2**53
+        ends = np.cumsum([len(h) for h, _ in asked])
+        out = [_pack_totals(totals[which[end - len(h) : end]]) for end, (h, _) in zip(ends.tolist(), asked, strict=True)]
+        give_back()
+        return pa.table([table["part"], table["block"], table["checksum"], table["words"], pa.array(out)], names=["part", "block", "checksum", "words", "totals"])
+
+    asked = rows.mapInArrow(tidy(ask), "part long, block long, checksum long, words long, grams binary")
+    answers = stage(asked.groupBy("part").applyInArrow(answer, "part long, block long, checksum long, words long, totals binary"))
+    n_words = answers.groupBy("block").agg(F.first("words").alias("words")).agg(F.sum("words")).first()[0] or 0
+
+    def number_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, table in _blocks(batches, block_bytes):
+            place = 0
+            for batch in table.to_batches():
+                yield pa.RecordBatch.from_arrays([pa.array([number] * batch.num_rows, pa.int64()), pa.array(range(place, place + batch.num_rows), pa.int64()), batch.column("doc_id"), batch.column("text")], names=["block", "place", "doc_id", "text"])
+                place += batch.num_rows
+
+    def judge(documents: pa.Table, totals: pa.Table) -> pa.Table:
+        documents, totals = documents.sort_by("place"), totals.sort_by("part")
+        block = Block(WordHasher(FOLD), documents["text"].to_pylist(), order)
+        distinct, _ = block.distinct()
+        found = np.concatenate([np.zeros(0, dtype=np.int64), *map(_unpack_totals, totals["totals"].to_pylist())])
+        if len(found) != len(distinct) or any(x != block.checksum for x in totals["checksum"].to_pylist()):
+            raise ValueError("the table gave other rows when it was read again; store it first")
+        log_prob = block.scores(found, n_words, alpha, min_count)
+        n = np.diff(block.starts)
+        none = n == 0
+        give_back()
+        return pa.table([documents["doc_id"], pa.array(n), pa.array(log_prob, mask=none), pa.array(log_prob / np.maximum(1, n), mask=none)], names=["doc_id", "n_words", "log_prob", "mean_log_prob"])
+
+    numbered = rows.mapInArrow(tidy(number_rows), f"block long, place long, doc_id {kind}, text string")
+    return numbered.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(judge, f"doc_id {kind}, n_words long, log_prob double, mean_log_prob double")
