@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from matchloom.llm.common import WordHasher, ngram_hashes, raw_texts, small_batches, spans
+from matchloom.llm.common import WordHasher, give_back, ngram_hashes, raw_texts, small_batches, spans, tidy
 
 SEED_WORDS, RARE_SHARE, THRESHOLD = 3, 1e-5, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -191,7 +191,7 @@ def _index(docs: DataFrame, block: DataFrame, text: str, n: int, rare_share: flo
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], held])), pa.array(np.concatenate([[seen], total[held]]))], names=["gram", "n"])
 
-    rows = docs.select(docs[text].cast("string").alias("text")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    rows = docs.select(docs[text].cast("string").alias("text")).mapInArrow(tidy(count), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
     counts = dict(zip(rows["gram"].to_pylist(), rows["n"].to_pylist(), strict=True))
     n_docs = counts.pop(-1, 0)
     held = np.zeros(len(full.grams), dtype=np.int64)
@@ -224,7 +224,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                         r, i, *rest = zip(*found, strict=True)
                         yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo).take(pa.array(r)), pa.array([index.ids[k] for k in i], item_kind), *(pa.array(x) for x in rest)], names=["doc_id", "item_id", "score", "first_word", "last_word", "n_seeds"])
 
-        part = rows.mapInArrow(find, kinds)
+        part = rows.mapInArrow(tidy(find), kinds)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -252,5 +252,6 @@ def _clean(shared: Broadcast, seed_words: int, threshold: float) -> Callable[[Co
                 for found in matches(index, hasher, raws[lo:hi], seed_words, threshold):
                     fine[lo + found[0]] = False
             yield pa.array(fine)
+        give_back()
 
     return clean

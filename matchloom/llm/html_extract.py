@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import small_batches, stage
+from matchloom.llm.common import small_batches, stage, tidy
 
 MIN_TOKENS, GROUP_PAGES = 8, 200
 #: Elements whose text isn't main text; those that hold no markup are passed over up to their end tag.
@@ -196,7 +196,7 @@ def extract(pages: DataFrame, min_tokens: int = MIN_TOKENS, group_pages: int = G
 
     kinds = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string"
     rows = pages.select(pages["page_id"].alias("page_id"), pages["url"].cast("string").alias("url"), pages["html"].cast("string").alias("html"))
-    parsed = stage(rows.mapInArrow(run, f"{kinds}, text string, blocks array<string>"))
+    parsed = stage(rows.mapInArrow(tidy(run), f"{kinds}, text string, blocks array<string>"))
     # Pages that the markup doesn't settle.
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     open_pages = parsed.where("blocks IS NOT NULL").withColumn("host", host)

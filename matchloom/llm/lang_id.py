@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import per_row, small_batches, spans
+from matchloom.llm.common import give_back, per_row, small_batches, spans, tidy
 
 #: Rows that training reads about; which ones, a hash of the id decides. Languages beyond MAX_LANGS with the fewest rows aren't learned.
 MAX_TRAIN_ROWS, MAX_LANGS = 20_000, 256
@@ -119,7 +119,7 @@ def fit(rows: DataFrame, text: str, lang: str, max_langs: int = MAX_LANGS, bucke
 
     counts = np.zeros((orders, buckets + 1, len(langs)))
     if langs:
-        found = labelled.mapInArrow(count, "l int, o int, c int, n long").groupBy("l", "o", "c").agg(F.sum("n").alias("n")).toArrow()
+        found = labelled.mapInArrow(tidy(count), "l int, o int, c int, n long").groupBy("l", "o", "c").agg(F.sum("n").alias("n")).toArrow()
         counts[found["o"].to_numpy(), found["c"].to_numpy(), found["l"].to_numpy()] = found["n"].to_numpy()
     smooth = counts[:, :buckets] + alpha
     log_p = np.zeros((orders, buckets + 1, len(langs)))
@@ -161,6 +161,7 @@ def predict(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     names.append(m.langs[best])
                     scores.append(float(1 / np.exp(total[i] - total[i, best]).sum()))
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
+        give_back()
 
     told = fresh(rows, "told")
     return rows.withColumn(told, tell(rows[text].cast("string"))).select(*rows.columns, F.col(f"{told}.lang_pred").alias(fresh(rows, "lang_pred")), F.col(f"{told}.score").alias(fresh(rows, "score")))

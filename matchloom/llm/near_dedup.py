@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import WordHasher, by_chunk, fresh, mix, ngram_hashes, small_batches, stage
+from matchloom.llm.common import WordHasher, by_chunk, fresh, mix, ngram_hashes, small_batches, stage, tidy
 from matchloom.llm.graph import components
 
 WORDS, SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 28, 5
@@ -151,7 +151,7 @@ def _signed(rows: DataFrame, bands: int, band_rows: int, words: int, counted: bo
 
         return by_chunk(batches, "text", work)
 
-    return rows.mapInArrow(run, "digest string, bands array<long>")
+    return rows.mapInArrow(tidy(run), "digest string, bands array<long>")
 
 
 def _element_lists(rows: DataFrame, words: int, counted: bool) -> DataFrame:
@@ -171,7 +171,7 @@ def _element_lists(rows: DataFrame, words: int, counted: bool) -> DataFrame:
 
         return by_chunk(batches, "text", work)
 
-    return rows.mapInArrow(run, "node long, elements array<long>")
+    return rows.mapInArrow(tidy(run), "node long, elements array<long>")
 
 
 def _few(table: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import SPACED, WordHasher, by_chunk, fresh, small_batches, stage
+from matchloom.llm.common import SPACED, WordHasher, by_chunk, fresh, give_back, small_batches, stage, tidy
 
 SEQ_LEN, END = 4096, 1
 #: Texts with these go to the tokenizer whole: white space on which libraries differ, and special tokens.
@@ -165,7 +165,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seq_len:
 
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def rounds(lengths: list[tuple[int, int]], seq_len: int = SEQ_LEN) -> list[tuple[int, int, int, int, int, int]]:
@@ -259,6 +259,7 @@ def pack(parts: DataFrame, seq_len: int = SEQ_LEN) -> DataFrame:
             own = runs[np.searchsorted(runs[:, 0], at, side="right") - 1]
             i = at - own[:, 0] + own[:, 2]
             yield pa.StructArray.from_arrays([pa.array(own[:, 4] + i // own[:, 3]), pa.array(own[:, 5] + i % own[:, 3] * size)], names=["sequence_id", "offset"])
+        give_back()
 
     return kept.withColumn(run_of, assign(place, low)).select(*parts.columns, F.col(f"{run_of}.sequence_id").alias("sequence_id"), F.col(f"{run_of}.offset").alias("offset"))
 

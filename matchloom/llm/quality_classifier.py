@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import fresh, raw_texts, small_batches, spans
+from matchloom.llm.common import fresh, give_back, raw_texts, small_batches, spans, tidy
 
 MAX_LABELLED, MAX_POOL, ROUNDS, SURE, MOST_PER_ROUND = 4000, 4000, 3, 0.97, 0.1
 BUCKETS, NAME_CELLS, LAYOUT = 2048, 32, 11
@@ -187,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                 yield pa.RecordBatch.from_arrays([part.column("y"), part.column("order"), pa.array([x.tobytes() for x in a]), pa.array([x.tobytes() for x in b])], names=["y", "order", "a", "b"])
 
     joined = view.join(F.broadcast(rows), "id").withColumn("order", F.crc32(F.col("id").cast("string").cast("binary")))  # at most 2 * (max_labelled + max_pool) ids
-    found = joined.select("text", "names", "number", "y", "order").mapInArrow(look, "y int, order long, a binary, b binary").limit(4 * (max_labelled + max_pool)).toArrow()
+    found = joined.select("text", "names", "number", "y", "order").mapInArrow(tidy(look), "y int, order long, a binary, b binary").limit(4 * (max_labelled + max_pool)).toArrow()
     if not found.num_rows:
         return None
     a = np.stack([np.frombuffer(x, dtype=np.float16) for x in found["a"].to_pylist()]).astype(np.float32)
@@ -210,6 +210,7 @@ def scored(docs: DataFrame, model: Model | None, name: str, text: str = "text",
             for lo, hi in spans(map(len, raws), CHUNK_BYTES) if m else ():
                 out[:, lo:hi] = m.score(text_view(raws[lo:hi]), meta_view(raws[lo:hi], tags[lo:hi], sizes[lo:hi]))
             yield pa.StructArray.from_arrays([pa.array(x) for x in out], names=["p_text", "p_meta", "score"])
+        give_back()
 
     return docs.withColumn(name, judge(*_inputs(docs, text, names, number)))
 

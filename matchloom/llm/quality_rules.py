@@ -17,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import Memo, by_chunk, mix, per_row, raw_texts, small_batches, spans
+from matchloom.llm.common import Memo, by_chunk, give_back, mix, per_row, raw_texts, small_batches, spans, tidy
 
 #: Bands by language or script: least and most characters per token in either vocabulary, most byte-fallback share, and least
 #: entropy as a share of the greatest that so many tokens can have (see `verdict`).
@@ -166,7 +166,7 @@ def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
 
         return by_chunk(batches, "text", work)
 
-    return rows.mapInArrow(run, f"doc_id {kind}, {COLUMNS}")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, {COLUMNS}")
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str | None = "lang", bands: dict | None = None) -> DataFrame:
@@ -182,6 +182,7 @@ def keep_good(docs: DataFrame, text: str = "text", lang: str | None = "lang", ba
             for lo, hi in spans(len(r or b"") for r in raws):
                 kept += [x[6] for x in measurer.rows(raws[lo:hi], names[lo:hi])]
             yield pa.array(kept, pa.bool_())
+        give_back()
 
     return docs.where(passes(docs[text].cast("string"), (docs[lang] if lang else F.lit(None)).cast("string")))
 
