@@ -31,8 +31,8 @@ BANDS = {
 }
 #: Words that a text needs, and the share of them in repeated five-word windows that it may have, in percent.
 MIN_WORDS, MOST_REPEATED, WINDOW = 10, 20, 5
-#: A text of fewer tokens is too short to judge by its entropy.
-MIN_ENTROPY_TOKENS = 50
+#: A text of fewer tokens is too short to judge by shares of them.
+MIN_TOKENS = 100
 
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, chars_per_token double, chars_per_token_bytes double, byte_share double, entropy double, script string"
 _SYMBOLS = b"#*$%&|<>"
@@ -109,10 +109,11 @@ def dup_lines(raw: bytes) -> int:
 
 
 def verdict(band: tuple, cpt: float, cpt_bytes: float, share: float, entropy: float, n_tokens: int) -> bool:
-    """Whether a text lies in the band."""
+    """Whether a text lies in the band, or is too short to tell."""
     least, most, most_bytes, flat = band
-    fine = least <= cpt <= most and least <= cpt_bytes <= most and share <= most_bytes
-    return fine and (n_tokens < MIN_ENTROPY_TOKENS or entropy >= flat * min(np.log2(n_tokens), 10.0))
+    if n_tokens < MIN_TOKENS:
+        return True
+    return least <= cpt <= most and least <= cpt_bytes <= most and share <= most_bytes and entropy >= flat * min(np.log2(n_tokens), 10.0)
 
 
 class Measurer:
