@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment.
 
 Texts are folded to words. Every window of `seed_words` words of a test item is a possible seed; how many documents hold it is counted
-over all documents. An item's seeds are its rarer half, and besides every window that at most RARE_SHARE of all documents hold:
-rarity is taken within the item, so an item that leaked into very many documents still has seeds. Where a document holds a seed, the
+over all documents. Of those that any holds, an item's seeds are the rarer half, and besides every window that at most RARE_DOCS, or
+RARE_SHARE of all, hold: rarity is taken within the item, so an item that leaked into very many documents still has seeds. Where a document holds a seed, the
 item is aligned with the words around it (match 2, mismatch -1, gap -1). The score is the best local alignment's as a share of a perfect one;
 a pair at or above `threshold` is contaminated. Copies with words changed, left out or put in score by how much of the item is left.
 
@@ -26,7 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from matchloom.llm.common import WordHasher, give_back, ngram_hashes, raw_texts, small_batches, spans, tidy
 
-SEED_WORDS, RARE_SHARE, THRESHOLD = 3, 1e-5, 0.5
+SEED_WORDS, RARE_SHARE, RARE_DOCS, THRESHOLD = 3, 1e-5, 20, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Bytes of item text in one index, and cells of one batch of alignments.
 MAX_BLOCK_BYTES, MAX_CELLS = 8 << 20, 4 << 20
@@ -197,13 +197,15 @@ def _index(docs: DataFrame, block: DataFrame, text: str, n: int, rare_share: flo
     held = np.zeros(len(full.grams), dtype=np.int64)
     held[list(counts)] = list(counts.values())
     df = np.repeat(held, np.diff(full.bounds))
-    order = np.lexsort((full.posts[:, 1], df, full.posts[:, 0]))  # by item, rarest first
+    held_only = np.flatnonzero(df > 0)  # what no document holds finds nothing
+    order = held_only[np.lexsort((full.posts[held_only, 1], df[held_only], full.posts[held_only, 0]))]  # by item, rarest first
     first = np.searchsorted(full.posts[order, 0], full.posts[order, 0])
-    sizes = np.bincount(full.posts[:, 0], minlength=len(ids))
+    sizes = np.bincount(full.posts[held_only, 0], minlength=len(ids))
     keep = np.zeros(len(df), dtype=bool)
     keep[order] = (np.arange(len(order)) - first) * 2 < sizes[full.posts[order, 0]]
+    keep |= (df > 0) & (df <= max(RARE_DOCS, rare_share * n_docs))
     shared.unpersist()
-    return Index.of(ids, texts, n, keep | (df <= rare_share * n_docs))
+    return Index.of(ids, texts, n, keep)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", seed_words: int = SEED_WORDS, threshold: float = THRESHOLD, rare_share: float = RARE_SHARE) -> DataFrame:

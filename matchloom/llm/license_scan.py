@@ -87,8 +87,8 @@ FORMS = [
     (50, 0.99, rf"spdx license identifier %s(?: {_VERSION})?(?: (only|or later))?"),
     (40, 0.95, rf"(?:licen[cs]ed|released|distributed|published|available|provided|made available) (?:under|with)(?: the)?(?: terms of)?(?: the)? %s(?: {_END})?(?: {_VERSION})?(?: (only|or(?: at your option)? any later version|or later))?"),
     (30, 0.90, rf"(?:terms|conditions|text|copy) of the %s {_END}(?: {_VERSION})?"),
-    (20, 0.85, rf"%s {_END} {_VERSION}"),
-    (20, 0.80, rf"%s {_VERSION}"),
+    (20, 0.85, rf"%s {_END} {_VERSION}(?: (only|or later))?"),
+    (20, 0.80, rf"%s {_VERSION}(?: (only|or later))?"),
     (10, 0.70, rf"%s {_END}"),
 ]
 #: Label, keyword, priority, weight and pattern of texts that name no licence.
