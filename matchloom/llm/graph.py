@@ -18,10 +18,9 @@ def components(links: DataFrame) -> DataFrame:
     labels = stage(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")))
     while True:
         near = edges.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
-        lower = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("label", "near").alias("lower"))
+        lower = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("was"), F.least("label", "near").alias("lower"))
         above = labels.select(F.col("node").alias("up"), F.col("label").alias("top"))
-        moved = stage(lower.join(above, F.col("lower") == F.col("up")).select("node", F.least("lower", "top").alias("label")))
-        changed = moved.join(labels.withColumnRenamed("label", "was"), "node").where("label <> was").limit(1).count()
-        labels = moved
-        if not changed:
+        moved = stage(lower.join(above, F.col("lower") == F.col("up")).select("node", F.least("lower", "top").alias("label"), (F.least("lower", "top") < F.col("was")).alias("changed")))
+        labels = moved.select("node", "label")
+        if moved.where("changed").isEmpty():
             return labels
