@@ -3,11 +3,12 @@
 A page is cut into text inside <article> or <main> (main text), text of menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and reader comments (dropped), and other text. Where a page has main text, that is its text: a passage of an article
 that another page has too is still that article's, so nothing is dropped from it. A page without such markup is judged by its host:
-the token streams of the host's pages are concatenated, suffixes are sorted by their first `min_tokens` tokens, and a run of equal
-prefixes from two pages or more is boilerplate; tokens it covers go, and the unique runs stay.
+the suffixes of its pages' token streams are put in order by a 64-bit hash of host and first `min_tokens` tokens, and a run of equal
+prefixes from two pages or more is boilerplate; tokens it covers go, and the unique runs stay. A longer repeated substring is covered by
+its windows, so the order need not go deeper.
 
-Parsing is one pass without a shuffle. Only pages without main text are grouped by host; a host's pages are dealt by a hash into
-groups of about `group_pages`, so no host is one task, and boilerplate, which is on most pages of a host, shows in each group.
+Parsing is one pass without a shuffle. Only pages without main text have suffixes; these are dealt by hash and counted before the shuffle,
+so no host and no passage is one task, and a passage shows however many pages a host has and wherever the two that share it lie.
 Defined results: a null html is empty and gives an empty text; a page without a host forms a group with others like it; repeated rows of
 a page id count as one page, so they don't make each other boilerplate; null ids and urls stay null.
 """
@@ -23,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import small_batches, stage, tidy
+from matchloom.llm.common import SPACED, WordHasher, mix, ngram_hashes, small_batches, stage, tidy
 
-MIN_TOKENS, GROUP_PAGES = 8, 200
+MIN_TOKENS = 8
 #: Elements whose text isn't main text; those that hold no markup are passed over up to their end tag.
 DROPPED = frozenset("nav footer aside form head menu dialog svg math select button noscript template object canvas audio video map fieldset datalist".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
@@ -128,55 +129,23 @@ def parse(page: str) -> tuple[str, list[str]]:
     return " ".join("".join(main).replace("\0", " ").split()), [x for x in blocks if x]
 
 
-def repeated(tokens: np.ndarray, pages: np.ndarray, min_tokens: int) -> np.ndarray:
-    """Which tokens lie in a run of min_tokens that another page has too. tokens: numbers; pages: the page of each, in order.
+def suffixes(hasher: WordHasher, blocks: list[str], host: int, min_tokens: int) -> tuple[list[str], np.ndarray]:
+    """The tokens of a page, and the hash of host and first min_tokens tokens of each suffix that has so many."""
+    words = [w for block in blocks for w in block.split()]
+    hashes = ngram_hashes(hasher.of([" ".join(words).encode()])[0], min_tokens)
+    return words, mix(hashes ^ mix(np.array([host], dtype=np.int64).view(np.uint64)))
 
-    Suffixes are sorted by their first min_tokens tokens by prefix doubling; a longer repeated substring is covered by its windows.
-    """
-    n = len(tokens)
-    m = n - min_tokens + 1
-    covered = np.zeros(n + 1, dtype=np.int64)
-    if m <= 0:
-        return covered[:n] > 0
-    rank, k = np.unique(tokens, return_inverse=True)[1].astype(np.int64), 1
-    while k < min_tokens:
-        step = min(k, min_tokens - k)  # two overlapping halves sort the whole window
-        later = np.full(n, -1, dtype=np.int64)
-        later[: n - step] = rank[step:]
-        rank = np.unique((rank + 1) * (n + 2) + later + 1, return_inverse=True)[1].astype(np.int64)
-        k += step
-    own = np.flatnonzero(pages[:m] == pages[min_tokens - 1 :])  # windows of one page
-    if not len(own):
-        return covered[:n] > 0
-    order = own[np.argsort(rank[own], kind="stable")]
-    first = np.concatenate([[True], rank[order][1:] != rank[order][:-1]])
-    group = np.cumsum(first) - 1
-    least, most = np.full(group[-1] + 1, n), np.full(group[-1] + 1, -1)
-    np.minimum.at(least, group, pages[order])
-    np.maximum.at(most, group, pages[order])
-    hit = order[(least < most)[group]]
-    np.add.at(covered, hit, 1)
-    np.add.at(covered, hit + min_tokens, -1)
-    return np.cumsum(covered)[:n] > 0
-
-
-def unique_runs(ids: list, blocks: list[list[str]], min_tokens: int = MIN_TOKENS) -> list[str]:
-    """The texts of a group of pages without what they share."""
-    words = [[w for block in page for w in block.split()] for page in blocks]
-    number: dict[str, int] = {}
-    page_of: dict[object, int] = {}
-    tokens = np.array([number.setdefault(w, len(number)) for page in words for w in page], dtype=np.int64)
-    same = [page_of.setdefault(i, len(page_of)) if i is not None else page_of.setdefault((None, k), len(page_of)) for k, i in enumerate(ids)]
-    pages = np.repeat(np.array(same, dtype=np.int64), [len(page) for page in words])
-    gone, at, out = repeated(tokens, pages, min_tokens), 0, []
-    for page in words:
-        keep = ~gone[at : at + len(page)]
-        out.append(" ".join(w for w, k in zip(page, keep, strict=True) if k))
-        at += len(page)
-    return out
-
-
-def extract(pages: DataFrame, min_tokens: int = MIN_TOKENS, group_pages: int = GROUP_PAGES, trust_markup: bool = True) -> DataFrame:
+
+def unique_runs(words: list[str], hashes: np.ndarray, shared: np.ndarray, min_tokens: int) -> str:
+    """The words that no shared run of min_tokens covers; hashes are those of the runs that begin at each word."""
+    edges = np.zeros(len(words) + 1, dtype=np.int64)
+    hit = np.flatnonzero(np.isin(hashes, shared))
+    np.add.at(edges, hit, 1)
+    np.add.at(edges, hit + min_tokens, -1)
+    return " ".join(w for w, n in zip(words, np.cumsum(edges)[:-1].tolist(), strict=True) if not n)
+
+
+def extract(pages: DataFrame, min_tokens: int = MIN_TOKENS, trust_markup: bool = True) -> DataFrame:
     """page_id, url, text and n_chars of every row of pages(page_id, url, html).
 
     trust_markup: whether text inside <article> or <main> is main text whatever the host's other pages have; otherwise it is judged as other text is.
@@ -199,14 +168,29 @@ def extract(pages: DataFrame, min_tokens: int = MIN_TOKENS, group_pages: int = G
     parsed = stage(rows.mapInArrow(tidy(run), f"{kinds}, text string, blocks array<string>"))
     # Pages that the markup doesn't settle.
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
-    open_pages = parsed.where("blocks IS NOT NULL").withColumn("host", host)
-    sizes = open_pages.groupBy(F.col("host").alias("of")).agg(F.ceil(F.count("*") / group_pages).alias("n"))
-    dealt = open_pages.join(sizes, F.col("host") == F.col("of")).withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("n")))
+    open_pages = parsed.where("blocks IS NOT NULL")
+    who = F.xxhash64(F.coalesce(F.col("page_id").cast("string"), F.concat(F.lit("#"), F.col("uid").cast("string"))))
+    open_pages = stage(open_pages.withColumn("uid", F.monotonically_increasing_id()).withColumn("host", F.xxhash64(host)).withColumn("who", who))
 
-    def judge(table: pa.Table) -> pa.Table:
-        texts = unique_runs(table["page_id"].to_pylist(), table["blocks"].to_pylist(), min_tokens)
-        return pa.table([table["page_id"], table["url"], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+    def list_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher(SPACED)
+        for batch in batches:
+            for uid, own, host, blocks in zip(*(batch.column(c).to_pylist() for c in ("uid", "who", "host", "blocks")), strict=True):
+                keys = np.unique(suffixes(hasher, blocks, host, min_tokens)[1]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), own, dtype=np.int64)), pa.array(np.full(len(keys), uid, dtype=np.int64))], names=["run", "who", "uid"])
 
-    judged = dealt.select("page_id", "url", "blocks", "host", "part").groupBy("host", "part").applyInArrow(judge, f"{kinds}, text string")
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher(SPACED)
+        for batch in batches:
+            texts = []
+            for host, blocks, shared in zip(*(batch.column(c).to_pylist() for c in ("host", "blocks", "shared")), strict=True):
+                words, hashes = suffixes(hasher, blocks, host, min_tokens)
+                texts.append(unique_runs(words, hashes, np.array(shared or [], dtype=np.int64).view(np.uint64), min_tokens))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+    runs = open_pages.select("uid", "who", "host", "blocks").mapInArrow(tidy(list_suffixes), "run long, who long, uid long")
+    boilerplate = runs.groupBy(F.col("run").alias("of")).agg(F.min("who").alias("least"), F.max("who").alias("most")).where("least < most").select("of")
+    covered = runs.join(boilerplate, F.col("run") == F.col("of")).groupBy(F.col("uid").alias("page")).agg(F.collect_list("run").alias("shared"))  # a page's own runs
+    judged = open_pages.join(covered, F.col("uid") == F.col("page"), "left").select("page_id", "url", "host", "blocks", "shared").mapInArrow(tidy(drop), f"{kinds}, text string")
     found = parsed.where("blocks IS NULL").select("page_id", "url", "text").unionByName(judged)
     return found.withColumn("n_chars", F.length("text").cast("long"))

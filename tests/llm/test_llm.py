@@ -402,6 +402,36 @@ def test_html(spark):
     assert (by[9], by[11]) == ([""], ["kept a b"])
 
 
+def test_host_suffixes_equal_brute_force(spark):
+    """A large host: passages that all, few or two pages share, beside other hosts, repeated ids and rows."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    menu, rare = [word() for _ in range(12)], [[word() for _ in range(9)] for _ in range(6)]
+    rows = []
+    for i in range(600):
+        parts = [[word() for _ in range(rng.randrange(0, 15))], *([menu] if i % 5 else []), *([rare[i % 6]] if i < 12 else []), [word() for _ in range(4)]]
+        rng.shuffle(parts)
+        host = "http://other/" if i % 50 == 0 else "HTTP://Big/" if i % 2 else "http://big/"
+        rows.append((None if i % 90 == 7 else i, f"{host}{i}", "".join(f"<p>{' '.join(p)}</p>" for p in parts)))
+    rows += rows[200:202]  # repeated rows of an id are one page
+    cut = [re.sub("<[^>]*>", " ", h).split() for _, _, h in rows]
+    hosts = [u.lower().split("/")[2] for _, u, _ in rows]
+    own = [n if i is None else f"id {i}" for n, (i, _, _) in enumerate(rows)]
+    held = {}
+    for n, w in enumerate(cut):
+        for k in range(len(w) - 7):
+            held.setdefault((hosts[n], *w[k : k + 8]), set()).add(own[n])
+    want = []
+    for n, w in enumerate(cut):
+        gone = {k + j for k in range(len(w) - 7) if len(held[hosts[n], *w[k : k + 8]]) > 1 for j in range(8)}
+        want.append((rows[n][0] or -1, rows[n][1], " ".join(x for k, x in enumerate(w) if k not in gone)))
+    found = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r["page_id"] or -1, r["url"], r["text"]) for r in found) == sorted(want)
+    assert any(len(g) == 2 for g in held.values())
+    judged = html_extract.extract(spark.createDataFrame([(i, "http://h", f"<article>{' '.join(menu)} own{i}</article>") for i in range(3)], "page_id long, url string, html string"), trust_markup=False)
+    assert {r["text"] for r in judged.collect()} == {"own0", "own1", "own2"}
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "quality_rules", "near_dedup", "decontamination", "packing"]
     now = docs
