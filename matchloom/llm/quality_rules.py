@@ -1,8 +1,13 @@
 """Quality rules: base counts of a text, and tokeniser fertility with rejection bands per language or script.
 
 A text has words ``[^\\x20\\x09-\\x0D]+``. Public vocabularies measure it: characters per token, the share of byte-fallback
-tokens and the entropy of the tokens. A text outside the band of its language (or, where the language has none, of its
-script) is rejected. The rules look at whole texts, keep no state between texts and need no shuffle.
+tokens and the entropy of the tokens. A text outside the band of its language and length is rejected. Bands are learnt: all texts
+that pass the base rules are grouped by language, and by script, and by the power of two of their number of tokens; a band reaches SPREAD
+times the distance of the quartiles beyond them, so short texts, whose ratios vary more, have wider bands. A text is judged by its
+language's band or, where fewer than MIN_GROUP texts made that, by its script's, and where those are too few as well by BANDS.
+
+Texts are measured once, in one pass; the quartiles come from counts of rounded values, which tasks merge, so they are exact and don't
+depend on partitioning.
 
 Defined results: a null text counts as empty, has no words and fails; repeated rows each get a row; a null id stays null.
 """
@@ -17,9 +22,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import Memo, by_chunk, give_back, mix, per_row, raw_texts, small_batches, spans, tidy
+from matchloom.llm.common import Memo, by_chunk, fresh, give_back, mix, per_row, raw_texts, small_batches, spans, stage, tidy
 
-#: Bands by language or script: least and most characters per token in either vocabulary, most byte-fallback share, and least
+#: Bands where too few texts are there to learn from, by language or script: least and most characters per token in either vocabulary, most byte-fallback share, and least
 #: entropy as a share of the greatest that so many tokens can have (see `verdict`).
 BANDS = {
     "latin": (1.3, 9.0, 0.25, 0.30),
@@ -31,8 +36,8 @@ BANDS = {
 }
 #: Words that a text needs, and the share of them in repeated five-word windows that it may have, in percent.
 MIN_WORDS, MOST_REPEATED, WINDOW = 10, 20, 5
-#: A text of fewer tokens is too short to judge by shares of them.
-MIN_TOKENS = 100
+#: Texts that a learnt band needs; how many quartile distances it reaches beyond the quartiles, and the least such distance; powers of two of tokens.
+MIN_GROUP, SPREAD, LEAST_WIDTH, LENGTHS = 50, 5.0, 0.02, (5, 12)
 
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, chars_per_token double, chars_per_token_bytes double, byte_share double, entropy double, script string"
 _SYMBOLS = b"#*$%&|<>"
@@ -109,11 +114,45 @@ def dup_lines(raw: bytes) -> int:
 
 
 def verdict(band: tuple, cpt: float, cpt_bytes: float, share: float, entropy: float, n_tokens: int) -> bool:
-    """Whether a text lies in the band, or is too short to tell."""
+    """Whether a text lies in the band."""
     least, most, most_bytes, flat = band
-    if n_tokens < MIN_TOKENS:
-        return True
-    return least <= cpt <= most and least <= cpt_bytes <= most and share <= most_bytes and entropy >= flat * min(np.log2(n_tokens), 10.0)
+    return least <= cpt <= most and least <= cpt_bytes <= most and share <= most_bytes and entropy >= flat * min(np.log2(max(1, n_tokens)), 10.0)
+
+
+#: What bands bound: from below, from above, and as a column (entropy as a share of the greatest that so many tokens can have).
+_BOUNDED = {
+    "chars_per_token": (True, True, F.col),
+    "chars_per_token_bytes": (True, True, F.col),
+    "byte_share": (False, True, F.col),
+    "entropy": (True, False, lambda c: F.col(c) / F.least(F.log2(F.greatest(F.col("n_tokens"), F.lit(2))), F.lit(10.0))),
+}
+
+
+def judged(measured: DataFrame) -> DataFrame:
+    """measured (COLUMNS, n_tokens and lang) with `kept` by learnt bands where there are enough texts."""
+    length = F.least(F.greatest(F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)))), F.lit(LENGTHS[0])), F.lit(LENGTHS[1]))
+    values = {c: as_column(c) for c, (_, _, as_column) in _BOUNDED.items()}
+    kinds = F.explode(F.array(F.struct(F.lit(True).alias("by_lang"), F.col("lang").alias("kind")), F.struct(F.lit(False).alias("by_lang"), F.col("script").alias("kind"))))
+    fine = measured.where("NOT base_failed").select(kinds.alias("of"), length.alias("length"), *(F.round(v, 3).alias(c) for c, v in values.items())).where("of.kind IS NOT NULL")
+    quartiles = fine.groupBy("of.by_lang", "of.kind", "length").agg(F.count(F.lit(1)).alias("n"), *(F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in values)).where(F.col("n") >= MIN_GROUP)
+    bands = []
+    for r in quartiles.collect():
+        row = [r["by_lang"], r["kind"], r["length"]]
+        for c, (below, above, _) in _BOUNDED.items():
+            reach = SPREAD * max(r[c][1] - r[c][0], LEAST_WIDTH)
+            row += [r[c][0] - reach if below else None, r[c][1] + reach if above else None]
+        bands.append(row)
+    edges = [f"{c}_{side}" for c in values for side in ("least", "most")]
+    learnt = measured.sparkSession.createDataFrame(bands, ", ".join(["by_lang boolean, kind string, length long", *(f"{e} double" for e in edges)]))
+    out = measured.withColumn("length", length)
+    for prefix, column, by_lang in (("lang", "lang", True), ("script", "script", False)):
+        own = learnt.where(F.col("by_lang") == by_lang).select(F.col("kind").alias(f"{prefix}_kind"), F.col("length").alias(f"{prefix}_length"), F.struct(*edges).alias(f"{prefix}_band"))
+        out = out.join(F.broadcast(own), (F.col(column) == F.col(f"{prefix}_kind")) & (F.col("length") == F.col(f"{prefix}_length")), "left")  # a few rows for each language
+    band = F.coalesce("lang_band", "script_band")
+    inside = F.lit(True)
+    for c, v in values.items():
+        inside = inside & F.coalesce(v >= band[f"{c}_least"], F.lit(True)) & F.coalesce(v <= band[f"{c}_most"], F.lit(True))
+    return out.withColumn("kept", ~F.col("base_failed") & F.when(band.isNull(), F.col("kept")).otherwise(inside)).select(*measured.columns)
 
 
 class Measurer:
@@ -123,7 +162,7 @@ class Measurer:
         self.vocabularies, self.bands = Vocabularies(piece_path, bytes_path), bands
 
     def rows(self, raws: list[bytes | None], langs: list[str | None]) -> list[tuple]:
-        """A tuple in the order of COLUMNS for each text."""
+        """A tuple in the order of COLUMNS, and the number of tokens, for each text; kept is by the fixed bands."""
         words: list[bytes] = []
         starts = [0]
         for raw in raws:
@@ -144,48 +183,58 @@ class Measurer:
             cpt, cpt_bytes = float(chars[i] / max(1, len(own))), float(chars[i] / max(1, n_bytes[i]))
             failed = bool(n_words[i] < MIN_WORDS or 100 * repeats[i] > MOST_REPEATED * n_words[i])
             kept = not failed and bool(verdict(self.bands.get(langs[i]) or self.bands[script], cpt, cpt_bytes, share, entropy, len(own)))
-            out.append((int(n_words[i]), int(chars[i]), int(symbols[i]), dup_lines(raw or b""), int(repeats[i]), failed, kept, cpt, cpt_bytes, share, entropy, script))
+            out.append((int(n_words[i]), int(chars[i]), int(symbols[i]), dup_lines(raw or b""), int(repeats[i]), failed, kept, cpt, cpt_bytes, share, entropy, script, len(own)))
         return out
 
 
 def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str | None = "lang", bands: dict | None = None, piece_path: str | None = None, bytes_path: str | None = None) -> DataFrame:
     """doc_id, the base counts, the verdict and the measurements of every row, whatever other columns docs has.
 
-    bands: by language or script, instead of BANDS; every script needs one. A row without a language is judged by its script.
+    bands: by language or script, instead of what is learnt; every script needs one. A row without a language is judged by its script.
     """
     small_batches(docs.sparkSession)
-    paths, use, kind = _paths(piece_path, bytes_path), bands or BANDS, docs.schema[doc_id].dataType.simpleString()
+    paths, use, kind, names = _paths(piece_path, bytes_path), bands or BANDS, docs.schema[doc_id].dataType.simpleString(), [c.split()[0] for c in COLUMNS.split(", ")]
     rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("text"), (docs[lang] if lang else F.lit(None)).cast("string").alias("lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measurer = Measurer(*paths, use)
-        kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 4 + [pa.string()]
+        kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 4 + [pa.string(), pa.int64()]
 
         def work(batch: pa.RecordBatch, raws: list[bytes | None]) -> pa.RecordBatch:
             made = zip(*measurer.rows(raws, batch.column("lang").to_pylist()), strict=True)
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, type=k) for x, k in zip(made, kinds, strict=True))], names=["doc_id", *(c.split()[0] for c in COLUMNS.split(", "))])
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, type=k) for x, k in zip(made, kinds, strict=True)), batch.column("lang")], names=["doc_id", *names, "n_tokens", "lang"])
 
         return by_chunk(batches, "text", work)
 
-    return rows.mapInArrow(tidy(run), f"doc_id {kind}, {COLUMNS}")
+    measured = rows.mapInArrow(tidy(run), f"doc_id {kind}, {COLUMNS}, n_tokens long, lang string")
+    return (measured if bands else judged(stage(measured))).select("doc_id", *names)
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str | None = "lang", bands: dict | None = None) -> DataFrame:
     """The rows of docs that pass, with their columns as they were."""
     small_batches(docs.sparkSession)
-    paths, use = _paths(None, None), bands or BANDS
+    paths, use, name = _paths(None, None), bands or BANDS, fresh(docs, "found")
+    fields = ["base_failed boolean", "kept boolean", "chars_per_token double", "chars_per_token_bytes double", "byte_share double", "entropy double", "script string", "n_tokens long"]
+    kinds = [pa.bool_()] * 2 + [pa.float64()] * 4 + [pa.string(), pa.int64()]
 
-    @F.arrow_udf("boolean")
-    def passes(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    @F.arrow_udf(f"struct<{', '.join(f.replace(' ', ':') for f in fields)}>")
+    def found(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         measurer = Measurer(*paths, use)
         for texts, langs in columns:
-            raws, names, kept = raw_texts(texts), langs.to_pylist(), []
+            raws, names, made = raw_texts(texts), langs.to_pylist(), []
             for lo, hi in spans(len(r or b"") for r in raws):
-                kept += [x[6] for x in measurer.rows(raws[lo:hi], names[lo:hi])]
-            yield pa.array(kept, pa.bool_())
+                made += [x[5:] for x in measurer.rows(raws[lo:hi], names[lo:hi])]
+            yield pa.StructArray.from_arrays([pa.array([x[k] for x in made], kind) for k, kind in enumerate(kinds)], names=[f.split()[0] for f in fields])
         give_back()
 
-    return docs.where(passes(docs[text].cast("string"), (docs[lang] if lang else F.lit(None)).cast("string")))
+    language = (docs[lang] if lang else F.lit(None)).cast("string")
+    measured = docs.withColumn(name, found(docs[text].cast("string"), language))
+    if bands:
+        return measured.where(F.col(f"{name}.kept")).select(*docs.columns)
+    measured = stage(measured)
+    language = (F.col(lang) if lang else F.lit(None)).cast("string")
+    table = measured.select(F.struct(*docs.columns).alias("row"), language.alias("lang"), *(F.col(f"{name}.{f.split()[0]}") for f in fields))
+    return judged(table).where("kept").select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def _paths(piece: str | None, by_bytes: str | None) -> tuple[str, str]:

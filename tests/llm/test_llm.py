@@ -382,6 +382,20 @@ def test_quality_rules(spark, docs, odd):
     assert not quality_rules.verdict(quality_rules.BANDS["latin"], 1.0, 1.0, 0.0, 6.0, 500)
 
 
+def test_quality_bands_are_learnt_and_judge_short_texts(spark):
+    rng = random.Random(7)
+    words = ["house", "water", "people", "street", "morning", "little", "because", "nothing", "garden", "number", "between", "another"]
+    rows = [(i, " ".join(rng.choices(words, k=30 if i % 2 else 200)), "en") for i in range(300)]
+    rows += [(i, " ".join("".join(rng.choices("xqzjkv0123456789", k=12)) for _ in range(12 if i % 2 else 120)), "en") for i in range(300, 306)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r for r in quality_rules.measure(table).collect()}
+    assert not any(r["base_failed"] for r in found.values())
+    assert {i for i, r in found.items() if not r["kept"]} == set(range(300, 306))
+    assert {r["doc_id"] for r in quality_rules.keep_good(table).collect()} == set(range(300))
+    assert {r["doc_id"]: r["kept"] for r in quality_rules.measure(table.repartition(7)).collect()} == {i: r["kept"] for i, r in found.items()}
+    assert not quality_rules.verdict(quality_rules.BANDS["latin"], 1.0, 1.0, 0.0, 3.0, 60)
+
+
 def test_html(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r["page_id"]: r for r in html_extract.extract(pages).collect()}
