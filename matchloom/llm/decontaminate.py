@@ -1,10 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds and Smith-Waterman alignment.
 
-Texts are folded to words. Every window of `seed_words` words of a test item is a possible seed; how many documents hold it is counted
-over all documents. Of those that any holds, an item's seeds are the rarer half, and besides every window that at most RARE_DOCS, or
-RARE_SHARE of all, hold: rarity is taken within the item, so an item that leaked into very many documents still has seeds. Where a document holds a seed, the
-item is aligned with the words around it (match 2, mismatch -1, gap -1). The score is the best local alignment's as a share of a perfect one;
-a pair at or above `threshold` is contaminated. Copies with words changed, left out or put in score by how much of the item is left.
+Texts are folded to words. Every window of `seed_words` words of a test item is a seed, however many documents hold it: whichever part of
+an item a document copies has its seeds, also where the item leaked into very many. Where a document holds a seed, the item is aligned with
+the words around it (match 2, mismatch -1, gap -1). The score is the best local alignment's as a share of a perfect one; a pair at or above
+`threshold` is contaminated. Copies with words changed, left out or put in score by how much of the item is left. Frequent windows cost
+little: an alignment can't match more of an item's words than the text around the seed holds, and is left out where these are too few for
+the threshold. That bound loses nothing.
 
 The items' index goes to every task, a block of at most MAX_BLOCK_BYTES of item text at a time; more items mean more passes. Documents
 aren't shuffled; windows are aligned in batches of bounded size; a document is looked at whole.
@@ -24,12 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from matchloom.llm.common import WordHasher, give_back, ngram_hashes, raw_texts, small_batches, spans, tidy
+from matchloom.llm.common import WordHasher, give_back, mix, ngram_hashes, raw_texts, small_batches, spans, tidy
 
-SEED_WORDS, RARE_SHARE, RARE_DOCS, THRESHOLD = 3, 1e-5, 20, 0.5
+SEED_WORDS, THRESHOLD = 3, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Bytes of item text in one index, and cells of one batch of alignments.
-MAX_BLOCK_BYTES, MAX_CELLS = 8 << 20, 4 << 20
+#: Bytes of item text in one index, cells of one batch of alignments, and places of seeds that are looked at at once.
+MAX_BLOCK_BYTES, MAX_CELLS, MAX_PLACES = 8 << 20, 4 << 20, 1 << 20
 CHUNK_BYTES = 1 << 20
 
 
@@ -45,8 +46,7 @@ class Index:
     filter: np.ndarray
 
     @staticmethod
-    def of(ids: list, texts: list[str | None], n: int, keep: np.ndarray | None = None) -> Index:
-        """keep: which of the grams are seeds; all if None."""
+    def of(ids: list, texts: list[str | None], n: int) -> Index:
         words, starts = WordHasher().of((t or "").encode() for t in texts)
         items = [words[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
         found = [ngram_hashes(w, n) for w in items]
@@ -55,10 +55,6 @@ class Index:
         order = np.argsort(every, kind="stable")
         grams, first = np.unique(every[order], return_index=True)
         bounds, posts = np.concatenate([first, [len(every)]]), posts[order]
-        if keep is not None:  # seeds are kept by posting, as a gram may be a seed of one item alone
-            of = np.repeat(np.arange(len(grams)), np.diff(bounds))[keep]
-            used, posts = np.unique(of), posts[keep]
-            grams, bounds = grams[used], np.concatenate([np.searchsorted(of, used), [len(of)]])
         seen = np.zeros(1 << 20, dtype=bool)
         seen[grams >> np.uint64(44)] = True
         return Index(ids, items, grams, bounds, posts, seen)
@@ -102,8 +98,8 @@ def align(items: np.ndarray, lengths: np.ndarray, texts: np.ndarray) -> tuple[np
     return best, end
 
 
-def _aligned(index: Index, words: np.ndarray, starts: np.ndarray, rows: np.ndarray, items: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Score, and first and last word in the text, for windows [low, high) of texts `rows`."""
+def _aligned(index: Index, words: np.ndarray, starts: np.ndarray, rows: np.ndarray, items: np.ndarray, low: np.ndarray, high: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Score, and first and last word in the text, for windows [low, high) of texts `rows`; 0 where a window lacks the words for the threshold."""
     lengths = np.array([len(w) for w in index.words], dtype=np.int64)[items]
     score, first, last = np.zeros(len(rows)), np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows), dtype=np.int64)
     order = np.argsort(lengths, kind="stable")
@@ -119,6 +115,12 @@ def _aligned(index: Index, words: np.ndarray, starts: np.ndarray, rows: np.ndarr
         where = low[part][:, None] + np.arange(wide)
         inside = where < high[part][:, None]
         b = np.where(inside, words[np.minimum(where, len(words) - 1)], np.uint64(0))
+        salt = mix(np.arange(1, len(part) + 1, dtype=np.uint64))[:, None]  # words meet within a window only
+        there = np.isin(a ^ salt, b[inside] ^ np.broadcast_to(salt, b.shape)[inside]) & (np.arange(tall) < lengths[part][:, None])
+        able = there.sum(axis=1) >= threshold * lengths[part]  # each word of the item matches once at most
+        part, a, b = part[able], a[able], b[able]
+        if not len(part):
+            continue
         best, end = align(a, lengths[part], b)
         # Backwards from the end: where it begins.
         back = np.zeros_like(a)
@@ -141,20 +143,24 @@ def matches(index: Index, hasher: WordHasher, raws: list[bytes | None], n: int,
     if not len(at):
         return []
     posts = index.bounds[gram + 1] - index.bounds[gram]
-    hit = np.repeat(np.arange(len(at)), posts)
-    post = index.posts[index.bounds[gram][hit] + np.arange(len(hit)) - np.repeat(np.cumsum(posts) - posts, posts)]
-    row, item, diagonal = of[at[hit]], post[:, 0], at[hit] - post[:, 1]
     lengths = np.array([len(w) for w in index.words], dtype=np.int64)
-    slack = np.maximum(4, lengths[item] // 4)
-    # Seeds of one copy lie on nearly one diagonal: one window for each band of diagonals.
-    keys = np.stack([row, item, (diagonal - starts[row]) // slack], axis=1)
-    places, group = np.unique(keys, axis=0, return_inverse=True)
+    places = []
+    for lo, hi in spans(posts.tolist(), MAX_PLACES):
+        hit = np.repeat(np.arange(lo, hi), posts[lo:hi])
+        post = index.posts[index.bounds[gram][hit] + np.arange(len(hit)) - np.repeat(np.cumsum(posts[lo:hi]) - posts[lo:hi], posts[lo:hi])]
+        row, item, diagonal = of[at[hit]], post[:, 0], at[hit] - post[:, 1]
+        slack = np.maximum(4, lengths[item] // 4)
+        # Seeds of one copy lie on nearly one diagonal: one window for each band of diagonals.
+        places.append(np.unique(np.stack([row, item, (diagonal - starts[row]) // slack, gram[hit]], axis=1), axis=0))
+    found = np.unique(np.concatenate(places), axis=0) if len(places) > 1 else places[0]
+    edge = np.flatnonzero(np.concatenate([[True], (found[1:, :3] != found[:-1, :3]).any(axis=1)]))
+    seeds = np.diff(np.concatenate([edge, [len(found)]]))
+    places = found[edge]
     rows, items = places[:, 0], places[:, 1]
     room = np.maximum(4, lengths[items] // 4)
     low = np.maximum(starts[rows], starts[rows] + places[:, 2] * room - room)
     high = np.minimum(starts[rows + 1], starts[rows] + (places[:, 2] + 2) * room + lengths[items])
-    score, first, last = _aligned(index, words, starts, rows, items, low, high)
-    seeds = np.bincount(np.unique(np.stack([group.reshape(-1), gram[hit]], axis=1), axis=0)[:, 0], minlength=len(rows))
+    score, first, last = _aligned(index, words, starts, rows, items, low, high, threshold)
     best: dict[tuple[int, int], tuple] = {}
     for r, i, s, a, b, k in zip(rows.tolist(), items.tolist(), score.tolist(), first.tolist(), last.tolist(), seeds.tolist(), strict=True):
         if s >= threshold and (r, i) not in best or s >= threshold and s > best[r, i][0]:
@@ -170,52 +176,20 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str) -> list[DataFrame]:
     return [rows] if n <= 1 else [rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)]
 
 
-def _index(docs: DataFrame, block: DataFrame, text: str, n: int, rare_share: float) -> Index:
-    """The seeds of a block: counts how many documents hold each window of the items, over all documents."""
+def _index(block: DataFrame, n: int) -> Index:
+    """The seeds of a block."""
     items = sorted(((r["item_id"], r["text"]) for r in block.collect()), key=lambda x: (x[0] is None, x[0], x[1]))
-    ids, texts = [x[0] for x in items], [x[1] for x in items]
-    full = Index.of(ids, texts, n)
-    shared = docs.sparkSession.sparkContext.broadcast(full)
+    return Index.of([x[0] for x in items], [x[1] for x in items], n)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, index = WordHasher(), shared.value
-        total, seen = np.zeros(len(index.grams), dtype=np.int64), 0
-        for batch in batches:
-            raws = raw_texts(batch.column("text"))
-            seen += len(raws)
-            for lo, hi in spans((len(r or b"") for r in raws), CHUNK_BYTES):
-                hashes, of = _windows(*hasher.of(raws[lo:hi]), n)
-                at, gram = index.hits(hashes)
-                pairs = np.unique(of[at] * (len(index.grams) + 1) + gram) if len(at) else at
-                total += np.bincount(pairs[pairs >= 0] % (len(index.grams) + 1), minlength=len(total))[: len(total)]
-        held = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], held])), pa.array(np.concatenate([[seen], total[held]]))], names=["gram", "n"])
-
-    rows = docs.select(docs[text].cast("string").alias("text")).mapInArrow(tidy(count), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-    counts = dict(zip(rows["gram"].to_pylist(), rows["n"].to_pylist(), strict=True))
-    n_docs = counts.pop(-1, 0)
-    held = np.zeros(len(full.grams), dtype=np.int64)
-    held[list(counts)] = list(counts.values())
-    df = np.repeat(held, np.diff(full.bounds))
-    held_only = np.flatnonzero(df > 0)  # what no document holds finds nothing
-    order = held_only[np.lexsort((full.posts[held_only, 1], df[held_only], full.posts[held_only, 0]))]  # by item, rarest first
-    first = np.searchsorted(full.posts[order, 0], full.posts[order, 0])
-    sizes = np.bincount(full.posts[held_only, 0], minlength=len(ids))
-    keep = np.zeros(len(df), dtype=bool)
-    keep[order] = (np.arange(len(order)) - first) * 2 < sizes[full.posts[order, 0]]
-    keep |= (df > 0) & (df <= max(RARE_DOCS, rare_share * n_docs))
-    shared.unpersist()
-    return Index.of(ids, texts, n, keep)
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", seed_words: int = SEED_WORDS, threshold: float = THRESHOLD, rare_share: float = RARE_SHARE) -> DataFrame:
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", seed_words: int = SEED_WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, score, first_word, last_word and n_seeds: a row for each contaminated pair of a document and an item."""
     small_batches(docs.sparkSession)
     kinds = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, item_id {benchmark.schema[item_id].dataType.simpleString()}, score double, first_word long, last_word long, n_seeds long"
     rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("text"))
     item_kind, out = to_arrow_type(benchmark.schema[item_id].dataType), None
     for block in _blocks(benchmark, item_id, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(_index(docs, block, text, seed_words, rare_share))
+        shared = docs.sparkSession.sparkContext.broadcast(_index(block, seed_words))
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             hasher, index = WordHasher(), shared.value
@@ -231,12 +205,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     return out
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", seed_words: int = SEED_WORDS, threshold: float = THRESHOLD, rare_share: float = RARE_SHARE) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", seed_words: int = SEED_WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that hold no item, with their columns as they were."""
     small_batches(docs.sparkSession)
     out = docs
     for block in _blocks(benchmark, item_id, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(_index(docs, block, text, seed_words, rare_share))
+        shared = docs.sparkSession.sparkContext.broadcast(_index(block, seed_words))
         out = out.where(_clean(shared, seed_words, threshold)(out[text].cast("string")))
     return out
 

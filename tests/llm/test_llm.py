@@ -280,6 +280,19 @@ def test_decontamination_finds_edited_copies(spark, docs):
         assert words(texts(docs)[d])[r["first_word"] : r["last_word"] + 1] == words(items[i])
 
 
+def test_decontamination_finds_any_part_of_a_leaked_item(spark):
+    """The later half of an item beside many full copies of it, a reworded first half, every fourth word changed: found as brute force says."""
+    item = [f"w{i}" for i in range(60)]
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    for part in (["xx", *item[29:], "yy"], ["xx", *item[:31], "yy"], [f"z{i}" if i < 29 else x for i, x in enumerate(item)], [x if i % 4 else f"z{i}" for i, x in enumerate(item)], item[:20], item[40:] + item[:20]):
+        rows = spark.createDataFrame([(i, " ".join(item)) for i in range(25)] + [(25, " ".join(part))], "doc_id long, text string")
+        found = {r["doc_id"]: r["score"] for r in decontaminate.contaminated(rows, bench).collect()}
+        number = {w: k for k, w in enumerate(sorted({*item, *part}))}
+        score = smith_waterman([number[w] for w in item], [number[w] for w in part]) / 120
+        assert found == pytest.approx({i: 1.0 for i in range(25)} | ({25: score} if score >= 0.5 else {}))
+        assert {r["doc_id"] for r in decontaminate.keep_clean(rows, bench).collect()} == ({25} if score < 0.5 else set())
+
+
 def test_lm_of_other_orders_equals_brute_force(spark, docs):
     rows = [(r["doc_id"], re.findall(r"[^\W_]+", r["text"].lower())) for r in docs.limit(40).collect()]
     counts = Counter(tuple(w[i : i + n]) for _, w in rows for n in (1, 2, 3, 4) for i in range(len(w) - n + 1))
