@@ -1,7 +1,8 @@
 """License scans: ordered signature rules, gated by keywords, with priority and interval containment.
 
 A-Z of a text become lower case and it is cut into words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. Rules are regular expressions over
-the words joined by one space. A rule runs only on texts that have its keyword among their words. A detection that lies inside a kept
+the words joined by one space, and match whole words. A rule runs only on texts that have its keyword among their words, by itself
+or, for abbreviations, with a version's first digit joined to it (GPLv2, LGPL3). A detection that lies inside a kept
 one of the same or a higher priority is suppressed. Four base phrases are counted besides; their labels always stay.
 
 Scanning is one pass without a shuffle and without state between texts. Defined results: a null text counts as empty; with no
@@ -36,7 +37,8 @@ NAMES = [
     ("mit", "mit", "mit"),
     ("mit", "expat", "expat"),
     ("x11", "x11", "x11"),
-    ("bsd", "bsd", "(?:new |modified |revised |simplified |original |free)?bsd"),
+    ("bsd", "bsd", "(?:new |modified |revised |simplified |original )?bsd"),
+    ("bsd", "freebsd", "freebsd"),
     ("isc", "isc", "isc"),
     ("mpl", "mozilla", "mozilla public"),
     ("mpl", "mpl", "mpl"),
@@ -80,16 +82,19 @@ NAMES = [
     ("cc-by-nc-sa", "creative", "creative commons attribution non ?commercial share ?alike"),
     ("cc-by-nc-nd", "creative", "creative commons attribution non ?commercial no ?deriv(?:ative)?s"),
 ]
-_VERSION = r"(?:version |ver |v)?(\d(?: \d)?)"
+#: Keywords that a version may be joined to.
+ABBREVIATIONS = ("gpl", "lgpl", "agpl", "mpl", "epl", "cddl", "eupl", "osl", "ofl", "cecill")
+#: A version after a space, and one that may be joined to the word before.
+_SPACED, _JOINED = r"(?: (?:version |ver |v ?)?(\d(?: \d)?))", r"(?:(?: (?:version |ver |v ?)?|v?)(\d(?: \d)?))"
 _END = "(?:licen[cs]e)"
-#: Priority, weight and form of a rule; %s is a name. Later suffixes of a label come from the version.
+#: Priority, weight and form of a rule; NAME is a name, VERSION a version after it. Later suffixes of a label come from the version.
 FORMS = [
-    (50, 0.99, rf"spdx license identifier %s(?: {_VERSION})?(?: (only|or later))?"),
-    (40, 0.95, rf"(?:licen[cs]ed|released|distributed|published|available|provided|made available) (?:under|with)(?: the)?(?: terms of)?(?: the)? %s(?: {_END})?(?: {_VERSION})?(?: (only|or(?: at your option)? any later version|or later))?"),
-    (30, 0.90, rf"(?:terms|conditions|text|copy) of the %s {_END}(?: {_VERSION})?"),
-    (20, 0.85, rf"%s {_END} {_VERSION}(?: (only|or later))?"),
-    (20, 0.80, rf"%s {_VERSION}(?: (only|or later))?"),
-    (10, 0.70, rf"%s {_END}"),
+    (50, 0.99, r"spdx license identifier NAMEVERSION?(?: (only|or later))?"),
+    (40, 0.95, rf"(?:licen[cs]ed|released|distributed|published|available|provided|made available) (?:under|with)(?: the)?(?: terms of)?(?: the)? NAME(?: {_END}{_SPACED}?|VERSION)?(?: (only|or(?: at your option)? any later version|or later))?"),
+    (30, 0.90, rf"(?:terms|conditions|text|copy) of the NAME {_END}{_SPACED}?"),
+    (20, 0.85, rf"NAME {_END}{_SPACED}(?: (only|or later))?"),
+    (20, 0.80, r"NAMEVERSION(?: (only|or later))?"),
+    (10, 0.70, rf"NAME {_END}"),
 ]
 #: Label, keyword, priority, weight and pattern of texts that name no licence.
 PLAIN = [
@@ -104,8 +109,8 @@ PLAIN = [
     ("proprietary", "confidential", 15, 0.6, "proprietary and confidential"),
     ("proprietary", "unauthorized", 15, 0.6, "unauthorized copying (?:of this file )?is (?:strictly )?prohibited"),
 ]
-#: Names that are also ordinary words count only with "license" or after "licensed under".
-_WORDS = {"mit", "expat", "bsd", "isc", "mpl", "epl", "php", "ruby", "python", "boost", "artistic", "x11", "openssl", "postgresql", "osl", "ofl", "cc", "apache"}
+#: Names that are also ordinary words count only with "license", after "licensed under" or with a version joined to them.
+_WORDS = {"mit", "expat", "bsd", "freebsd", "isc", "mpl", "epl", "php", "ruby", "python", "boost", "artistic", "x11", "openssl", "postgresql", "osl", "ofl", "cc", "apache"}
 
 
 @dataclass(frozen=True)
@@ -117,14 +122,23 @@ class Rule:
     pattern: re.Pattern
 
 
+def _whole(form: str) -> re.Pattern:
+    """A pattern that begins and ends where words do, also where a shorter match does."""
+    return re.compile(rf"(?<![^ ])(?:{form})(?![^ ])".encode())
+
+
 def rules() -> list[Rule]:
     """Every name in every form that suits it, and the plain texts: some three hundred, highest priority first."""
-    made = [Rule(label, key.encode(), p, w, re.compile(form.encode())) for label, key, p, w, form in PLAIN]
+    made = [Rule(label, key.encode(), p, w, _whole(form)) for label, key, p, w, form in PLAIN]
     for label, key, name in NAMES:
+        version = _JOINED if key in ABBREVIATIONS else _SPACED
         for p, w, form in FORMS:
-            if key in _WORDS and form.startswith("%s") and "licen" not in form and not label.startswith("cc"):
-                continue
-            made.append(Rule(label, key.encode(), p, w, re.compile((form % name).encode())))
+            own = version
+            if key in _WORDS and form.startswith("NAME") and "licen" not in form and not label.startswith("cc"):
+                if key not in ABBREVIATIONS:
+                    continue
+                own = r"(?:v?(\d(?: \d)?))"
+            made.append(Rule(label, key.encode(), p, w, _whole(form.replace("VERSION", own).replace("NAME", name))))
     return sorted(made, key=lambda r: (-r.priority, r.label, r.pattern.pattern))
 
 
@@ -136,7 +150,10 @@ class Scanner:
         for rule in rules():
             self.by_keyword.setdefault(rule.keyword, []).append(rule)
         self.base = [(phrase.encode(), label) for phrase, label in BASE.items()]
-        self.gate = frozenset(self.by_keyword) | {phrase.split()[0] for phrase, _ in self.base}
+        #: Words that open the gate, with the keyword that each stands for.
+        self.words = {key: key for key in self.by_keyword} | {phrase.split()[0]: phrase.split()[0] for phrase, _ in self.base}
+        self.words |= {f"{key}{v}{digit}".encode(): key.encode() for key in ABBREVIATIONS for v in ("", "v") for digit in range(10)}
+        self.gate = frozenset(self.words)
 
     def base_places(self, line: bytes) -> list[tuple[int, str]]:
         """Where in the joined words a base phrase stands."""
@@ -157,11 +174,10 @@ class Scanner:
             for rule in self.by_keyword.get(key, ()):
                 for m in rule.pattern.finditer(line):
                     lo, hi = m.span()
-                    if (lo == 0 or line[lo - 1] == 32) and (hi == len(line) or line[hi] == 32):
-                        parts = [g.decode() for g in m.groups() if g]
-                        version = next((g.replace(" ", ".") for g in parts if g[0].isdigit()), "")
-                        later = "-or-later" if any("later" in g for g in parts) else "-only" if "only" in parts else ""
-                        found.append((lo, hi, rule, rule.label + (f"-{version}" if version else "") + later))
+                    parts = [g.decode() for g in m.groups() if g]
+                    version = next((g.replace(" ", ".") for g in parts if g[0].isdigit()), "")
+                    later = "-or-later" if any("later" in g for g in parts) else "-only" if "only" in parts else ""
+                    found.append((lo, hi, rule, rule.label + (f"-{version}" if version else "") + later))
         found.sort(key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[3]))
         kept: list[tuple[int, int, Rule, str]] = []
         spans: list[tuple[int, int]] = []  # kept intervals that lie in no other, by start: their ends rise too
@@ -182,7 +198,7 @@ class Scanner:
         words = (raw or b"").translate(FOLD).split()
         if self.gate.isdisjoint(words):
             return len(words), 0, None, None, "", "", 0.0
-        keys, line = self.gate.intersection(words), b" ".join(words)
+        keys, line = {self.words[w] for w in self.gate.intersection(words)}, b" ".join(words)
         places = self.base_places(line)
         found = self.detections(line, keys)
         base, rest = {label for _, label in places}, 1.0

@@ -378,6 +378,23 @@ def test_licences(spark, docs, odd):
     assert len(license_scan.rules()) > 200
 
 
+def test_licence_spellings_and_gate(docs):
+    scanner = license_scan.Scanner()
+    spellings = {
+        "GPLv2": "gpl-2", "(GPLv3)": "gpl-3", "GPLv2 or later": "gpl-2-or-later", "LGPLv2.1": "lgpl-2.1", "AGPLv3 only": "agpl-3-only", "MPLv2.0": "mpl-2.0", "GPL3": "gpl-3",
+        "FreeBSD license": "bsd", "GPL v3, 29 June 2007": "gpl-3", "GPL version 2, 1991": "gpl-2", "released under the GPLv3": "gpl-3", "GPL-2.0-only": "gpl-2.0-only",
+        "FreeBSD 14": "", "php5 and python3": "", "gplv2x": "", "xgplv2": "", "GPL 2007": "",
+    }
+    for text, label in spellings.items():
+        assert (text, scanner.scan(text.encode())[5]) == (text, label)
+    every = {rule.keyword for rule in license_scan.rules()}
+    mixed = [f"a {name} b" for name in spellings] + [f"under the {n[1]}{v}{d} license" for n in license_scan.NAMES for v in ("", "v", " ", " v") for d in ("", 1, 2, "3 0")]
+    for text in [*mixed, *texts(docs).values()]:  # the gate keeps from no rule what it would find
+        found = text.encode().translate(FOLD).split()
+        keys = {scanner.words[w] for w in scanner.gate.intersection(found)}
+        assert scanner.detections(b" ".join(found), keys) == scanner.detections(b" ".join(found), every)
+
+
 def test_quality_rules(spark, docs, odd):
     piece = quality_rules.Vocabularies(*quality_rules._paths(None, None))
     for table in (docs, odd):
