@@ -4,13 +4,13 @@ A page is cut into text inside <article> or <main> (main text), text of menus, h
 scripts, styles and reader comments (dropped), and other text. Where a page has main text, that is its text: a passage of an article
 that another page has too is still that article's, so nothing is dropped from it. A page without such markup is judged by its host:
 the suffixes of its pages' token streams are put in order by a 64-bit hash of host and first `min_tokens` tokens, and a run of equal
-prefixes from two pages or more is boilerplate; tokens it covers go, and the unique runs stay. A longer repeated substring is covered by
+prefixes from two pages or more that differ is boilerplate; tokens it covers go, and the unique runs stay. A longer repeated substring is covered by
 its windows, so the order need not go deeper.
 
 Parsing is one pass without a shuffle. Only pages without main text have suffixes; these are dealt by hash and counted before the shuffle,
 so no host and no passage is one task, and a passage shows however many pages a host has and wherever the two that share it lie.
 Defined results: a null html is empty and gives an empty text; a page without a host forms a group with others like it; repeated rows of
-a page id count as one page, so they don't make each other boilerplate; null ids and urls stay null.
+a page id count as one page, and so do pages with equal tokens, so they don't make each other boilerplate; null ids and urls stay null.
 """
 
 from __future__ import annotations
@@ -170,14 +170,14 @@ def extract(pages: DataFrame, min_tokens: int = MIN_TOKENS, trust_markup: bool =
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     open_pages = parsed.where("blocks IS NOT NULL")
     who = F.xxhash64(F.coalesce(F.col("page_id").cast("string"), F.concat(F.lit("#"), F.col("uid").cast("string"))))
-    open_pages = stage(open_pages.withColumn("uid", F.monotonically_increasing_id()).withColumn("host", F.xxhash64(host)).withColumn("who", who))
+    open_pages = stage(open_pages.withColumn("uid", F.monotonically_increasing_id()).withColumn("host", F.xxhash64(host)).withColumn("who", who).withColumn("content", F.xxhash64(F.array_join("blocks", " "))))
 
     def list_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(SPACED)
         for batch in batches:
-            for uid, own, host, blocks in zip(*(batch.column(c).to_pylist() for c in ("uid", "who", "host", "blocks")), strict=True):
+            for uid, own, content, host, blocks in zip(*(batch.column(c).to_pylist() for c in ("uid", "who", "content", "host", "blocks")), strict=True):
                 keys = np.unique(suffixes(hasher, blocks, host, min_tokens)[1]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), own, dtype=np.int64)), pa.array(np.full(len(keys), uid, dtype=np.int64))], names=["run", "who", "uid"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.full(len(keys), x, dtype=np.int64)) for x in (own, content, uid))], names=["run", "who", "content", "uid"])
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(SPACED)
@@ -188,8 +188,10 @@ def extract(pages: DataFrame, min_tokens: int = MIN_TOKENS, trust_markup: bool =
                 texts.append(unique_runs(words, hashes, np.array(shared or [], dtype=np.int64).view(np.uint64), min_tokens))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    runs = open_pages.select("uid", "who", "host", "blocks").mapInArrow(tidy(list_suffixes), "run long, who long, uid long")
-    boilerplate = runs.groupBy(F.col("run").alias("of")).agg(F.min("who").alias("least"), F.max("who").alias("most")).where("least < most").select("of")
+    runs = open_pages.select("uid", "who", "content", "host", "blocks").mapInArrow(tidy(list_suffixes), "run long, who long, content long, uid long")
+    # Where neither all ids nor all contents are equal, two pages differ in both.
+    ends = [f(c).alias(f"{c}_{n}") for c in ("who", "content") for f, n in ((F.min, "least"), (F.max, "most"))]
+    boilerplate = runs.groupBy(F.col("run").alias("of")).agg(*ends).where("who_least < who_most AND content_least < content_most").select("of")
     covered = runs.join(boilerplate, F.col("run") == F.col("of")).groupBy(F.col("uid").alias("page")).agg(F.collect_list("run").alias("shared"))  # a page's own runs
     judged = open_pages.join(covered, F.col("uid") == F.col("page"), "left").select("page_id", "url", "host", "blocks", "shared").mapInArrow(tidy(drop), f"{kinds}, text string")
     found = parsed.where("blocks IS NULL").select("page_id", "url", "text").unionByName(judged)

@@ -476,6 +476,15 @@ def test_host_suffixes_equal_brute_force(spark):
     assert {r["text"] for r in judged.collect()} == {"own0", "own1", "own2"}
 
 
+def test_copies_of_a_page_keep_their_text(spark):
+    """Equal pages under two urls, cut into elements in different ways, beside pages that share only a menu."""
+    menu, text = " ".join(f"menu{i}" for i in range(9)), " ".join(f"word{i}" for i in range(40))
+    rows = [(1, "http://h/a", f"<p>{menu}</p><p>{text}</p>"), (2, "http://h/b", f"<div>{menu}<p>{text}</p></div>"), (3, "http://h/c", f"<p>{menu}</p><p>own text</p>")]
+    rows += [(4, "http://k/a", f"<p>{text}</p>"), (5, "http://k/b", f"<p>{text}</p>")]
+    found = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {1: text, 2: text, 3: "own text", 4: text, 5: text}
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "quality_rules", "near_dedup", "decontamination", "packing"]
     now = docs
