@@ -36,19 +36,23 @@ MAIN = frozenset(("article", "main"))
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that end an open paragraph.
 BLOCKS = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
-#: Words in a class or id that mark an element as no main text, and roles that do.
+#: Words that mark an element as no main text: as a class, or as a class with other such words and words of LAYOUT ("sidebar-left"). Roles that do.
 HINTS = frozenset(
     "ad ads advert adverts advertisement advertising adsense adslot banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices sidebar menu navbar nav navigation breadcrumb breadcrumbs footer comment comments commentlist respond disqus reply replies share sharing social related recommended newsletter subscribe signup login popup modal pagination pager toolbar".split()
 )
+LAYOUT = frozenset("area articles bar block box buttons column container content form group header icons inner item items left links list main outer overlay page panel posts right section site slot top bottom unit widget widgets wrap wrapper".split())
+#: Ids that do, outside main text. Elsewhere, and on headings and links, an id is a name of what it holds.
+IDS = frozenset("ad ads banner breadcrumb breadcrumbs comments cookie-banner disqus_thread footer menu nav navbar navigation sidebar site-footer site-nav".split())
+SLUGGED = frozenset("a h1 h2 h3 h4 h5 h6 hgroup".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?/](?![a-zA-Z])[^>]*(?:>|\Z)|<!?(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.DOTALL)
-_NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 
 
-def hinted(name: str, attributes: str) -> bool:
+def hinted(name: str, attributes: str, in_main: bool = False) -> bool:
     """Whether attributes say that an element is no main text."""
-    for key, value in _NAMED.findall(attributes):
+    for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "role":
             if value in ROLES:
@@ -61,10 +65,13 @@ def hinted(name: str, attributes: str) -> bool:
         elif key == "style":
             if re.search(r"display\s*:\s*none", value):
                 return True
-        else:
+        elif key == "id":
+            if not in_main and name not in SLUGGED and value in IDS:
+                return True
+        elif key == "class":
             for word in value.split():
-                parts = re.split(r"[-_]+", word)
-                if parts[0] not in ("has", "with", "no", "is", "js") and (parts[0] in HINTS or parts[-1] in HINTS):
+                parts = set(re.split(r"[-_]+", word))
+                if parts & HINTS and parts <= HINTS | LAYOUT | {""}:
                     return True
     return False
 
@@ -123,7 +130,7 @@ def parse(page: str) -> tuple[str, list[str]]:
         stack.append(name)
         if not in_main and not dropped and name in MAIN:
             in_main = len(stack)
-        elif not dropped and (name in DROPPED or name == "header" and not in_main or name not in ("html", "body", "article", "main") and attributes and hinted(name, attributes)):
+        elif not dropped and (name in DROPPED or name == "header" and not in_main or name not in ("html", "body", "article", "main") and attributes and hinted(name, attributes, bool(in_main))):
             dropped = len(stack)
     blocks = (" ".join(x.split()) for x in "".join(other).split("\0"))
     return " ".join("".join(main).replace("\0", " ").split()), [x for x in blocks if x]

@@ -485,6 +485,17 @@ def test_copies_of_a_page_keep_their_text(spark):
     assert found == {1: text, 2: text, 3: "own text", 4: text, 5: text}
 
 
+def test_article_sections_and_links_are_kept():
+    kept = ['<h2 id="related-work">x</h2>', '<section id="social-structure">x</section>', '<div id="notice-periods">x</div>', '<p id="comments-on-the-law">x</p>', '<h3 id="share-capital">x</h3>', '<p id="comments">x</p>']
+    kept += ['<a href="/hidden-lake">x</a>', '<span title="the hidden river">x</span>', '<p data-hidden="no">x</p>', '<p title="class=ad">x</p>', '<p class="related-work social-structure">x</p>', '<h2 data-role="banner">x</h2>', "<p title='a style=\"display:none\"'>x</p>"]
+    dropped = ['<p hidden>x</p>', '<p title="a" HIDDEN="">x</p>', '<p class="big ad">x</p>', '<div class="cookie-banner">x</div>', '<div class=sidebar-left>x</div>', '<p role=navigation>x</p>', '<p style="color:red; display: none">x</p>', "<p aria-hidden='true'>x</p>"]
+    for tag in kept:
+        assert (tag, html_extract.parse(f"<article>a {tag} b</article>")[0].split()) == (tag, ["a", "x", "b"])
+    for tag in dropped:
+        assert (tag, html_extract.parse(f"<article>a {tag} b</article>")[0].split()) == (tag, ["a", "b"])
+    assert html_extract.parse('<h2 id="comments">x</h2><div id="sidebar">y</div><div id="comments">z</div><div id="share-capital">w</div>') == ("", ["x", "w"])
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "quality_rules", "near_dedup", "decontamination", "packing"]
     now = docs
