@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import hashlib
 import re
 import tempfile
 import uuid
@@ -14,18 +15,25 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that Python handles at once; it bounds the memory of a worker, not what is read.
 CHUNK_BYTES = 2 << 20
-#: Rows in an Arrow batch. Texts can be long, so batches are small.
-BATCH_ROWS = 1000
+#: Rows in an Arrow batch at most. Texts can be long, so batches are small.
+BATCH_ROWS = 500
 #: Words whose hash or tokens a worker remembers. The memory is emptied when full; results don't depend on it.
 CACHE_WORDS = 250_000
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Arrow batches of this session hold at most so many rows, as one row can be a whole book."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session hold at most BATCH_ROWS rows, as one row can be a whole book.
+
+    Batches are cut when a plan runs, after its operator has returned, so the setting stays. All operators want the same, a smaller value is
+    left as it is, and no result depends on where batches end.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -50,9 +58,51 @@ def work_dir(spark: SparkSession) -> str:
 
 def stage(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table in the shared folder and return the table: it cuts lineage and outlives executors."""
-    path = f"{work_dir(df.sparkSession)}/table"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stage_at(df)[0]
+
+
+def stage_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """As `stage`, with the folder, so that it can be given to `discard` once nothing reads the table any more."""
+    folder = work_dir(df.sparkSession)
+    df.write.parquet(f"{folder}/table")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/table"), folder
+
+
+def discard(spark: SparkSession, folder: str | None) -> None:
+    """Delete the folder of a staged table: what was made from it must be staged itself by then."""
+    if folder:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+class Scratch:
+    """Staged tables that are deleted together, once what was made from them is staged itself."""
+
+    def __init__(self) -> None:
+        self.folders: list[tuple[SparkSession, str]] = []
+
+    def stage(self, df: DataFrame) -> DataFrame:
+        table, folder = stage_at(df)
+        self.folders.append((df.sparkSession, folder))
+        return table
+
+    def clear(self) -> None:
+        while self.folders:
+            discard(*self.folders.pop())
+
+
+def join_split(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "inner", most: int = 2000) -> DataFrame:
+    """rows joined with groups on `key`, of which groups has a row for each value, without one task for the rows of a frequent value.
+
+    groups.size says how many rows have the value, and total how many rows there are. At most `most` values can have more than total / most
+    of the rows, so those are broadcast, however large the tables, and rows with them stay where they are; the others meet in an even
+    shuffle. groups should be a stored table, as it is read three times; rows is read twice. how: inner or left.
+    """
+    limit = max(1, total // most)
+    hot, cold = groups.where(F.col(size) > limit), groups.where(F.col(size) <= limit)
+    keys = F.broadcast(hot.select(key))
+    of_hot = rows.join(F.broadcast(hot), key)
+    return of_hot.unionByName(rows.join(keys, key, "left_anti").join(cold, key, how))
 
 
 def fresh(df: DataFrame, base: str) -> str:
@@ -166,31 +216,22 @@ class Memo:
 class WordHasher:
     """64-bit hashes of folded words, the same on every machine.
 
-    All words of a chunk are hashed at once: with S the running sum of T[byte] * P**position modulo 2**64, a word from a to b has
-    (S[b] - S[a]) * P**-a, which no longer depends on where it stands; a finaliser spreads it over all bits.
+    All words of a chunk are hashed at once, eight bytes in a step: the bytes, as a number, are joined to the hash so far and mixed. The few words
+    of more than LONG bytes go through BLAKE2.
     """
 
-    _P = 0x9E3779B97F4A7C13
+    LONG = 64
+    _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+    _P = np.uint64(0x9E3779B97F4A7C15)
 
     def __init__(self, fold: bytes = FOLD) -> None:
-        to = np.frombuffer(fold, dtype=np.uint8)
-        self.is_word = to != 32
-        self.table = np.where(self.is_word, (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1))[to], np.uint64(0))
-        self.powers = self.inverse = np.ones(1, dtype=np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if len(self.powers) < n:
-            n = max(n, CHUNK_BYTES)
-            for name, base in (("powers", self._P), ("inverse", pow(self._P, -1, 1 << 64))):
-                steps = np.full(n, base, dtype=np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
+        self.fold = fold
 
     def of(self, raws: Iterable[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the words of all texts one after the other, and where each text starts (one entry more than texts)."""
         parts = [r or b"" for r in raws]
         found, starts, n = [np.zeros(0, dtype=np.uint64)], [np.zeros(1, dtype=np.int64)], 0
-        for lo, hi in spans(map(len, parts), 1 << 20):  # a piece's arrays take some forty times its bytes
+        for lo, hi in spans(map(len, parts), 1 << 20):  # a piece's arrays take some twenty times its bytes
             words, at = self.places(parts[lo:hi])[:2]
             found.append(words)
             starts.append(at[1:] + n)
@@ -203,12 +244,22 @@ class WordHasher:
         offsets = np.zeros(len(parts) + 1, dtype=np.int64)
         np.cumsum(np.fromiter((len(r) + 1 for r in parts), dtype=np.int64, count=len(parts)), out=offsets[1:])
         joined = b" ".join(parts) + b" "
-        data = np.frombuffer(joined, dtype=np.uint8)
-        self._grow(len(data))
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(self.table[data] * self.powers[: len(data)], out=sums[1:])
-        inside = np.zeros(len(data) + 1, dtype=np.int8)
-        inside[1:] = self.is_word[data]
+        folded = joined.translate(self.fold) + b" " * 8
+        inside = np.zeros(len(joined) + 1, dtype=np.int8)
+        inside[1:] = np.frombuffer(folded, dtype=np.uint8)[: len(joined)] != 32
         edges = np.flatnonzero(inside[1:] != inside[:-1])  # the last byte is a space, so starts and ends alternate
         first, last = edges[::2], edges[1::2]
-        return mix((sums[last] - sums[first]) * self.inverse[first]), np.searchsorted(first, offsets), joined, first, last
+        return self._hashes(folded, first, last - first), np.searchsorted(first, offsets), joined, first, last
+
+    def _hashes(self, folded: bytes, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        eights = np.ndarray((len(folded) - 7,), dtype="<u8", buffer=folded, strides=(1,))  # the eight bytes from each place on
+        h = mix(lengths.astype(np.uint64) * self._P)
+        todo, at, left = np.arange(len(first)), first, np.where(lengths <= self.LONG, lengths, 0)
+        while len(todo):
+            h[todo] = mix((h[todo] ^ (eights[at] & self._MASKS[np.minimum(left, 8)])) * self._P)
+            more = np.flatnonzero(left > 8)
+            todo, at, left = todo[more], at[more] + 8, left[more] - 8
+        for i in np.flatnonzero(lengths > self.LONG).tolist():
+            word = folded[first[i] : first[i] + lengths[i]]
+            h[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return h

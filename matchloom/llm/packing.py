@@ -10,8 +10,8 @@ seq_len * (1 + 3 * log2(seq_len)) runs however many documents there are (each le
 run leaves less than half its gap). So the sweep is small enough for one process, while tokenising, sorting, ranking and placing stay
 distributed. A piece of a hot length costs nothing extra: the range sort splits lengths by a hash.
 
-Defined results: a null text is empty and gives one piece, the end token alone; repeated rows are packed one by one; an empty table
-gives no rows; null ids stay null.
+Defined results: a null text is empty and gives one piece, the end token alone; repeated rows are packed one by one; pieces of one length go by
+a hash of their rows; a long text is cut and kept whole; an empty table gives no rows; null ids stay null; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import SPACED, WordHasher, by_chunk, fresh, give_back, small_batches, stage, tidy
+from matchloom.llm.common import SPACED, WordHasher, by_chunk, fresh, small_batches, stage, tidy
 
 SEQ_LEN, END = 4096, 1
 #: Texts with these go to the tokenizer whole: white space on which libraries differ, and special tokens.
@@ -49,8 +49,9 @@ class Tokens:
     """Ids of texts, as little-endian unsigned 32-bit numbers.
 
     A tokenizer that cuts texts at white space before anything else, into words whose last token is marked, gives a word the same ids
-    whatever its neighbours; so words' ids are remembered by the words' 64-bit hashes, up to CACHE_WORDS words. When there are more, those seen
-    in one chunk only since the last time are forgotten. New words of letters go through the same merges without the normaliser, which leaves them as they are,
+    whatever its neighbours; so words' ids are remembered, up to CACHE_WORDS words. They are looked up by 64-bit hashes, and their bytes are then
+    compared, so words with one hash don't get each other's ids: texts with such a word go to the tokenizer whole. When there are too many,
+    those seen in one chunk only since the last time are forgotten. New words of letters go through the same merges without the normaliser, which leaves them as they are,
     many in one call; the marks tell where each ends. Other tokenizers get whole texts.
     """
 
@@ -62,6 +63,7 @@ class Tokens:
         self.hasher = WordHasher(SPACED)
         self.hashes, self.flat = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype="<u4")
         self.offsets, self.lengths, self.used = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
+        self.bytes, self.bytes_at, self.bytes_long = np.zeros(0, dtype=np.uint8), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)  # the words themselves
         form = json.loads(self.tokenizer.to_str())
         steps = [(x["type"], x.get("behavior"), x.get("invert"), x.get("use_regex")) for x in (form["pre_tokenizer"] or {}).get("pretokenizers", [])]
         cuts = [x["pattern"].get("Regex") for x in (form["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"]
@@ -94,18 +96,20 @@ class Tokens:
         self.offsets = np.insert(self.offsets, at, len(self.flat) + np.cumsum(lengths) - lengths)
         self.hashes, self.lengths, self.used = np.insert(self.hashes, at, hashes), np.insert(self.lengths, at, lengths), np.insert(self.used, at, 0)
         self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(made), dtype="<u4")])
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        self.bytes_at, self.bytes_long = np.insert(self.bytes_at, at, len(self.bytes) + np.cumsum(sizes) - sizes), np.insert(self.bytes_long, at, sizes)
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(words), dtype=np.uint8)])
 
     def _forget(self) -> None:
         keep = self.used > 1
         if keep.sum() > self.most // 2:
             keep[:] = False
-        self.flat = self._gather(self.offsets[keep], self.lengths[keep])
+        self.flat, self.bytes = _gather(self.flat, self.offsets[keep], self.lengths[keep]), _gather(self.bytes, self.bytes_at[keep], self.bytes_long[keep])
+        self.bytes_long = self.bytes_long[keep]
+        self.bytes_at = np.cumsum(self.bytes_long) - self.bytes_long
         self.hashes, self.lengths = self.hashes[keep], self.lengths[keep]
         self.offsets, self.used = np.cumsum(self.lengths) - self.lengths, np.zeros(len(self.hashes), dtype=np.int32)
 
-    def _gather(self, offsets: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        return self.flat[np.repeat(offsets - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())]
-
     def _letters(self, words: list[str]) -> list[bytes]:
         """Ids of words of lower-case Latin-1 letters, five hundred in a call."""
         if not words:
@@ -134,12 +138,32 @@ class Tokens:
             at = np.searchsorted(self.hashes, distinct)
         if len(at):
             self.used[at] += 1
-        lengths = self.lengths[at][which]
-        ids = self._gather(self.offsets[at][which], lengths)
+        of = at[which]
+        data = np.frombuffer(joined, dtype=np.uint8)
+        for k in np.flatnonzero(~_equal(data, first, last - first, self.bytes, self.bytes_at[of], self.bytes_long[of])).tolist():  # another word with the hash of a remembered one
+            i = int(np.searchsorted(starts, k, side="right")) - 1
+            if i not in whole:
+                whole[i] = self._encode(raws[i].decode("utf-8", "replace"))
+        lengths = self.lengths[of]
+        ids = _gather(self.flat, self.offsets[of], lengths)
         ends = np.concatenate([[0], np.cumsum(lengths)])[starts].tolist()
         return [(whole[i] if i in whole else ids[ends[i] : ends[i + 1]]).tobytes() for i in range(len(raws))]
 
 
+def _gather(flat: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """flat[at[i]:at[i] + lengths[i]] for all i, one after the other."""
+    return flat[np.repeat(at - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())]
+
+
+def _equal(a: np.ndarray, a_at: np.ndarray, a_long: np.ndarray, b: np.ndarray, b_at: np.ndarray, b_long: np.ndarray) -> np.ndarray:
+    """For each i whether a and b have the same a_long[i], and b_long[i], values from a_at[i] and b_at[i] on."""
+    out = a_long == b_long
+    own = np.flatnonzero(out)
+    ends = np.cumsum(a_long[own])
+    out[own[np.searchsorted(ends, np.flatnonzero(_gather(a, a_at[own], a_long[own]) != _gather(b, b_at[own], a_long[own])), side="right")]] = False
+    return out
+
+
 def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seq_len: int = SEQ_LEN, end: int | None = END, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of the pieces of every document, and with with_ids their ids (binary, little-endian unsigned 32-bit)."""
     small_batches(docs.sparkSession)
@@ -251,15 +275,17 @@ def pack(parts: DataFrame, seq_len: int = SEQ_LEN) -> DataFrame:
         return _joined(kept, plan, low, place, parts.columns)
     table = kept.sparkSession.sparkContext.broadcast(np.array(plan, dtype=np.int64).reshape(-1, 6))
 
-    @F.arrow_udf("struct<sequence_id:long,offset:long>")
-    def assign(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def work(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         runs = table.value
         for places, lengths in columns:
             at, size = places.to_numpy(zero_copy_only=False), lengths.to_numpy(zero_copy_only=False)
             own = runs[np.searchsorted(runs[:, 0], at, side="right") - 1]
             i = at - own[:, 0] + own[:, 2]
             yield pa.StructArray.from_arrays([pa.array(own[:, 4] + i // own[:, 3]), pa.array(own[:, 5] + i % own[:, 3] * size)], names=["sequence_id", "offset"])
-        give_back()
+
+    @F.arrow_udf("struct<sequence_id:long,offset:long>")
+    def assign(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        yield from tidy(work)(columns)
 
     return kept.withColumn(run_of, assign(place, low)).select(*parts.columns, F.col(f"{run_of}.sequence_id").alias("sequence_id"), F.col(f"{run_of}.offset").alias("offset"))
 
