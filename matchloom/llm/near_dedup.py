@@ -1,8 +1,8 @@
 """Near-duplicate detection by DartMinHash signatures and banded joining.
 
 A text is folded to words, its elements are its distinct windows of five words (a shorter text is one element), and the similarity
-of two texts is the weighted Jaccard similarity of their elements: with weights 1, the default, that of the sets; with
-weights "count", that of the multisets. Darts are thrown by hashing: each unit of weight of an element is a column whose ranks
+of two texts is the weighted Jaccard similarity of their elements: with weights "count", the default, an element weighs as often as the text
+has it, so the similarity is that of the multisets; with weights "set" each weighs 1. Darts are thrown by hashing: each unit of weight of an element is a column whose ranks
 are cut into unit cells, a cell gets Poisson(1) darts, a dart has a rank within its cell, a weight within its column (it counts
 if that lies within the element's weight) and one of k coordinates; only darts below the rank t / total weight are thrown, about t =
 k ln k + 2k a text however long. The earliest dart of each coordinate is its signature value, so two texts agree in a coordinate
@@ -12,10 +12,12 @@ Texts that agree in all values of a band are candidates. Equal texts are one nod
 with the bucket's least node; pairs are verified on all their elements; what is verified is joined to components. Buckets that hold
 several components try other centers a few times. The nodes of those that still do are then joined by the rarest of their elements (a
 prefix join, which finds every link between components), so no link is left out, while a bucket of one large group, or of texts that share a
-passage and little else, costs no more than its size. With 28 bands of 5 values a pair of similarity 0.8 escapes with a probability of 1.5e-5.
+passage and little else, costs no more than its size. A bucket that a large share of all rows is in doesn't meet its center in one task: such buckets are few, whatever the
+corpus, and their centers are broadcast (`join_split`). With 28 bands of 5 values a pair of similarity 0.8 escapes with a probability of 1.5e-5.
 
 Defined results: null texts are a class each; empty texts and texts without a word are grouped only with equal texts; a class is named by
-its least doc_id (null if it has none); repeated rows are copies; extra columns don't matter.
+its least doc_id (null if it has none); repeated rows are copies; ties don't arise, as a link depends on its two texts only; a long text is taken
+whole; an empty table has no classes; other columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import WordHasher, by_chunk, fresh, mix, ngram_hashes, small_batches, stage, tidy
+from matchloom.llm.common import Scratch, WordHasher, by_chunk, fresh, join_split, mix, ngram_hashes, small_batches, stage, tidy
 from matchloom.llm.graph import components
 
 WORDS, SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 28, 5
@@ -179,16 +181,20 @@ def _few(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= MAX_BROADCAST_ROWS else table
 
 
-def links(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, band_rows: int = BAND_ROWS, weights: str = "set") -> tuple[DataFrame, DataFrame]:
-    """Nodes (digest, node): one for each distinct text; and links (a, b, similarity) between nodes, which hold every component together."""
+def links(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, band_rows: int = BAND_ROWS, weights: str = "count", scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes (digest, node): one for each distinct text; and links (a, b, similarity) between nodes, which hold every component together.
+
+    scratch holds the tables on the way; its owner clears it once the links are used.
+    """
+    stage = (scratch or Scratch()).stage
     counted = {"set": False, "count": True}[weights]
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.md5(docs[text].cast("string")).alias("digest"), docs[text].cast("string").alias("text")).where("text IS NOT NULL")
     nodes = stage(_signed(texts, bands, band_rows, words, counted).groupBy("digest").agg(F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
     rows = nodes.select("node", F.explode("bands").alias("band"))
-    buckets = rows.groupBy("band").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center < last").select(F.col("band").alias("bucket"), "center")
-    shared = stage(rows.join(buckets, F.col("band") == F.col("bucket")).select("band", "node", "center"))
+    buckets = stage(rows.groupBy("band").agg(F.min("node").alias("center"), F.max("node").alias("last"), F.count("*").alias("n")).where("center < last").select("band", "center", "n"))
+    shared = stage(join_split(rows, buckets, "band", "n", _total(buckets)).select("band", "node", "center"))
     tried = stage(shared.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct())
 
     met = stage(shared.select("node").distinct().join(nodes.select("node", "digest"), "node"))
@@ -208,8 +214,9 @@ def links(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY, w
     for turn in range(MERGING_ROUNDS):
         # Buckets that still hold several components try another center, each its own; what is linked joins components.
         order = F.struct(F.xxhash64("node", "band", F.lit(turn)), F.col("node"), F.col("label"))
-        mixed = place.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min(order).alias("center")).where("least < most")
-        rest = stage(place.join(mixed.select(F.col("band").alias("bucket"), F.col("center.node").alias("center"), F.col("center.label").alias("its")), F.col("band") == F.col("bucket")))
+        mixed = place.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min(order).alias("center"), F.count("*").alias("n")).where("least < most")
+        mixed = stage(mixed.select("band", F.col("center.node").alias("center"), F.col("center.label").alias("its"), "n"))
+        rest = stage(join_split(place, mixed, "band", "n", _total(mixed)))
         pairs = rest.where("label <> its").select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
         fresh_pairs = stage(pairs.join(tried, ["a", "b"], "left_anti"))
         found = stage(verified(fresh_pairs))
@@ -218,12 +225,17 @@ def links(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY, w
         ends = found.join(_labels(rest, "a"), "a").join(_labels(rest, "b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
         named = components(ends).withColumnRenamed("label", "new")
         place = stage(rest.join(named.withColumnRenamed("node", "label"), "label", "left").select("band", "node", F.coalesce("new", "label").alias("label")))
-    mixed = place.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("band")
-    rest = stage(place.join(mixed, "band", "left_semi").select("node", "label").distinct())
+    mixed = stage(place.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n")).where("least < most").select("band", "n"))
+    rest = stage(join_split(place, mixed, "band", "n", _total(mixed)).select("node", "label").distinct())
     untried = _prefix_pairs(lists.join(rest, "node"), similarity).join(tried, ["a", "b"], "left_anti")
     return nodes.select("digest", "node"), good.unionByName(stage(verified(stage(untried))))
 
 
+def _total(buckets: DataFrame) -> int:
+    """Rows of all buckets."""
+    return buckets.agg(F.sum("n")).first()[0] or 0
+
+
 def _prefix_pairs(rows: DataFrame, t: float) -> DataFrame:
     """Pairs (a, b) of rows(node, elements, label) with different labels, among them all whose sets have a similarity of t or more.
 
@@ -262,12 +274,14 @@ def _labels(rows: DataFrame, name: str) -> DataFrame:
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options: object) -> DataFrame:
     """doc_id, digest and class_id of every row."""
-    nodes, found = links(docs, text, **options)
+    scratch = Scratch()
+    nodes, found = links(docs, text, scratch=scratch, **options)
     named = components(found)
     rows = docs.select(docs[doc_id].alias("doc_id"), F.md5(docs[text].cast("string")).alias("digest"))
     least = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least"))
     member = least.join(nodes, "digest").join(named, "node", "left").select("digest", "least", F.coalesce("label", "node").alias("class"))
     member = stage(member)
+    scratch.clear()
     names = member.groupBy("class").agg(F.min("least").alias("class_id"))
     by_digest = member.join(names, "class").select(F.col("digest").alias("of"), "class_id")
     return rows.join(by_digest, F.col("digest") == F.col("of"), "left").select("doc_id", "digest", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))

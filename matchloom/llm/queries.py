@@ -77,10 +77,10 @@ SELECT h.page_id, h.payload_bytes, d.payload_digest, CASE WHEN h.page_id = d.fir
     "op4_near_dedup": """
 WITH RECURSIVE t AS (SELECT doc_id, text, string_split_regex(trim(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g')), ' ') AS w FROM documents WHERE text IS NOT NULL),
 n AS (SELECT text, min(doc_id) AS node, any_value(w) AS w FROM t GROUP BY text),
-e AS (SELECT DISTINCT node, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS s
-    FROM (SELECT node, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM n WHERE len(w) > 0 AND w <> [''])),
-z AS (SELECT node, count(*) AS m FROM e GROUP BY node),
-c AS (SELECT a.node AS a, b.node AS b, count(*) AS k FROM e a JOIN e b ON a.s = b.s AND a.node < b.node GROUP BY 1, 2),
+e AS (SELECT node, s, count(*) AS c FROM (SELECT node, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS s
+    FROM (SELECT node, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM n WHERE len(w) > 0 AND w <> [''])) GROUP BY 1, 2),
+z AS (SELECT node, sum(c) AS m FROM e GROUP BY node),
+c AS (SELECT a.node AS a, b.node AS b, sum(least(a.c, b.c)) AS k FROM e a JOIN e b ON a.s = b.s AND a.node < b.node GROUP BY 1, 2),
 l AS (SELECT a, b FROM c JOIN z x ON x.node = a JOIN z y ON y.node = b WHERE k / (x.m + y.m - k) >= 0.8),
 g AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 r(node, seen) AS (SELECT node, node FROM n UNION SELECT r.node, g.b FROM r JOIN g ON g.a = r.seen),
