@@ -1,16 +1,21 @@
 """WARC archives: a Python data source that reads them, a sink that writes them, and the round trip of a page table.
 
 Reading: one partition per archive file (the sink starts a new file after `maxfilebytes`). Equality and IN filters on headers, and
-comparisons of record types, are pushed into the reader; it parses a record's headers first and skips the payload of a record that
-the filters drop, or whose payload the schema doesn't ask for, without decoding it. Writing: each task writes its own gzip files, one
-member per record; the driver lists the files of tasks that succeeded in ``_files.json``, so files of failed or repeated tasks aren't read.
-Files are reached by pyarrow's filesystems (file, hdfs, s3, gs).
+prefixes, tests for null and comparisons of lengths, are pushed into the reader; it parses a record's headers first and skips the payload of a
+record that the filters drop, or whose payload the schema doesn't ask for, without decoding it. Header names count in any case, with or without a
+space after the colon. Writing: each task writes its own gzip files, one member per record; the driver lists the files of tasks that
+succeeded in ``_files.json``, which it puts in place whole, so files of failed or repeated tasks aren't read. Files are reached by
+pyarrow's filesystems (file, hdfs, s3, gs).
+
+Defined results: an empty table gives archives without a file, and these no rows; a null html is an empty payload; a long payload is one record, whole;
+of rows alike in id and payload one is the response; columns besides page_id, url and html don't matter.
 """
 
 from __future__ import annotations
 
 import io
 import json
+import operator
 import posixpath
 import uuid
 import zlib
@@ -20,10 +25,10 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from matchloom.llm.common import small_batches, work_dir
+from matchloom.llm.common import join_split, small_batches, stage, work_dir
 
 #: Column, type and header of what a record has. `headers` are all of them as JSON, `payload` the block without HTTP headers.
 FIELDS = {
@@ -122,8 +127,10 @@ class WarcWriter(DataSourceArrowWriter):
         if fs.get_file_info(place).is_file:
             with fs.open_input_stream(place) as f:
                 listed = sorted({*json.loads(f.read()), *listed})
-        with fs.open_output_stream(place) as f:
+        new = posixpath.join(folder, f"_files.{uuid.uuid4().hex}")
+        with fs.open_output_stream(new) as f:
             f.write(json.dumps(listed).encode())
+        fs.move(new, place)  # a crash before this leaves the old list
 
     def abort(self, messages: list) -> None:
         fs, folder = filesystem(self.path)
@@ -154,11 +161,12 @@ class Stream:
                 if self.unpack.eof:
                     self.rest = self.unpack.unused_data
                     self.unpack = zlib.decompressobj(31)
-                data = self.rest or self.raw.read(1 << 20)
-                self.rest = b""
+                data = self.unpack.unconsumed_tail or self.rest or self.raw.read(1 << 20)
+                if data is self.rest:
+                    self.rest = b""
                 if not data:
                     return False
-                made = self.unpack.decompress(data)
+                made = self.unpack.decompress(data, 4 << 20)  # however much a few bytes unpack to
             if made:
                 self.buffer, self.at = self.buffer[self.at :] + made, 0
                 return True
@@ -195,6 +203,34 @@ class Stream:
         return parts.getvalue()
 
 
+class Headers(dict):
+    """A record's headers as they are written; `get` takes a name in any case."""
+
+    def __init__(self, pairs) -> None:  # noqa: ANN001
+        super().__init__(pairs)
+        self.lower = {k.lower(): v for k, v in self.items()}
+
+    def get(self, name: str, default: str | None = None) -> str | None:
+        return self.lower.get(name.lower(), default)
+
+
+#: Filters that the reader takes, and how each compares a header's value with the filter's.
+TESTS = {
+    EqualTo: operator.eq,
+    In: lambda x, y: x in y,
+    StringStartsWith: lambda x, y: x.startswith(y),
+    GreaterThan: operator.gt,
+    GreaterThanOrEqual: operator.ge,
+    LessThan: operator.lt,
+    LessThanOrEqual: operator.le,
+}
+
+
+def number(text: str | None) -> int | None:
+    """A header's whole number; None for what is none."""
+    return int(text) if text and text.isascii() and text.isdigit() else None
+
+
 def records(raw, wanted, keep_payload: bool) -> Iterator[tuple[dict, bytes | None]]:  # noqa: ANN001
     """Headers and payload of the records that wanted(headers) accepts; the others' blocks are passed over."""
     stream = Stream(raw)
@@ -202,13 +238,13 @@ def records(raw, wanted, keep_payload: bool) -> Iterator[tuple[dict, bytes | Non
         lines = head.lstrip(b"\r\n").split(b"\r\n")
         if not lines[0].startswith(b"WARC/"):
             raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
-        headers = dict(line.decode("utf-8", "replace").split(": ", 1) if b": " in line else (line.decode("utf-8", "replace").rstrip(":"), "") for line in lines[1:])
-        n = int(headers.get("Content-Length", 0))
+        headers = Headers((name.strip(), value.strip()) for name, _, value in (line.decode("utf-8", "replace").partition(":") for line in lines[1:]))
+        n = int(headers.get("Content-Length") or 0)
         keep = wanted(headers)
         block = stream.take(n, keep and keep_payload)
         stream.take(4, False)
         if keep:
-            if keep_payload and headers.get("WARC-Type") in ("response", "revisit"):
+            if keep_payload and (headers.get("WARC-Type") or "").lower() in ("response", "revisit"):
                 block = block.partition(b"\r\n\r\n")[2]
             yield headers, block if keep_payload else None
 
@@ -218,40 +254,55 @@ class WarcReader(DataSourceReader):
         self.path, self.schema, self.tests = path, schema, []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Takes equality and IN on a header's text; Spark tests the rest."""
+        """Takes comparisons of a header with a value, and tests whether there is one; Spark tests the rest."""
         for f in filters:
-            name = f.attribute[0] if isinstance(f, EqualTo | In) and len(f.attribute) == 1 else None
-            if name in FIELDS and FIELDS[name][0] == "string":
-                self.tests.append((FIELDS[name][1], [f.value] if isinstance(f, EqualTo) else list(f.value)))
-            else:
+            name = f.attribute[0] if isinstance(f, (*TESTS, IsNull, IsNotNull)) and len(f.attribute) == 1 else None
+            if name not in FIELDS:
                 yield f
+            elif isinstance(f, IsNull | IsNotNull):
+                self.tests.append((name, type(f), None))
+            else:
+                self.tests.append((name, type(f), tuple(f.value) if isinstance(f, In) else f.value))
+
+    def wanted(self, headers: Headers) -> bool:
+        """Whether a record passes the filters taken; a header that isn't there passes only the test for null."""
+        for name, kind, value in self.tests:
+            kind_of, header = FIELDS[name]
+            found = headers.get(header) if kind_of == "string" else number(headers.get(header))
+            if kind is IsNull or kind is IsNotNull:
+                if (found is None) != (kind is IsNull):
+                    return False
+            elif found is None or not TESTS[kind](found, value):
+                return False
+        return True
 
     def partitions(self) -> list[Archive]:
         fs, folder = filesystem(self.path)
         place = posixpath.join(folder, "_files.json")
         if fs.get_file_info(place).is_file:
             with fs.open_input_stream(place) as f:
-                return [Archive(posixpath.join(folder, x)) for x in json.loads(f.read())]
+                return [Archive(posixpath.join(folder, x)) for x in json.loads(f.read())] or [Archive("")]
         from pyarrow.fs import FileSelector
 
         info = fs.get_file_info(folder)
         found = [info] if info.is_file else fs.get_file_info(FileSelector(folder, recursive=True))
-        return [Archive(x.path) for x in sorted(found, key=lambda x: x.path) if x.is_file and x.path.endswith((".warc", ".warc.gz"))]
+        return [Archive(x.path) for x in sorted(found, key=lambda x: x.path) if x.is_file and x.path.endswith((".warc", ".warc.gz"))] or [Archive("")]
 
     def read(self, partition: Archive) -> Iterator[pa.RecordBatch]:
+        if not partition.path:
+            return  # Spark wants a partition, and there is no file
         fs, _ = filesystem(self.path)
         names = self.schema.fieldNames()
         kinds = {"long": pa.int64(), "string": pa.string()}
         types = [pa.binary() if n == "payload" else pa.string() if n == "headers" else kinds[FIELDS[n][0]] for n in names]
-        tests, keep = self.tests, "payload" in names
-        wanted = lambda headers: all(headers.get(h) in values for h, values in tests)
+        keep = "payload" in names
 
         def value(name: str, headers: dict, payload: bytes | None) -> object:
             if name in ("payload", "headers"):
                 return payload if name == "payload" else json.dumps(headers, ensure_ascii=False)
             kind, header = FIELDS[name]
             found = headers.get(header)
-            return int(found) if found is not None and kind == "long" else found
+            return number(found) if kind == "long" else found
 
         rows, size = [], 0
 
@@ -259,7 +310,7 @@ class WarcReader(DataSourceReader):
             return pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
         with fs.open_input_stream(partition.path, compression=None) as raw:
-            for headers, payload in records(raw, wanted, keep):
+            for headers, payload in records(raw, self.wanted, keep):
                 rows.append([value(n, headers, payload) for n in names])
                 size += len(payload or b"")
                 if len(rows) >= READ_ROWS or size >= READ_BYTES:
@@ -291,17 +342,20 @@ class WarcSource(DataSource):
 def with_revisits(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     """Records of pages(page_id, url, html): of equal payloads of at least so many bytes the one with the largest page_id is the response.
 
-    Which payloads are equal, their SHA-1 tells. Equal ids with equal payloads are told apart by their place in the scan; a null id counts
-    as the smallest. Only digests, ids and lengths are grouped (combined before the shuffle); a join on the digest then gives each
-    record its response, and adaptive execution splits a digest that many pages share.
+    Which payloads are equal, their SHA-1 tells. Rows alike in id and payload are told apart by their place in the scan; a null id counts
+    as the smallest. Only digests and ids are grouped (combined before the shuffle); a join on the digest then gives each record its
+    response. Records of a payload that a large share of all pages has aren't moved for that (`join_split`).
     """
     payload = F.encode(F.coalesce(pages["html"].cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("target_uri"), payload.alias("payload"), F.monotonically_increasing_id().alias("place"))
     rows = rows.select("*", F.sha1("payload").alias("sha1"))
-    order = F.struct(F.coalesce("page_id", F.lit(-(1 << 63))).alias("page_id"), F.col("place").alias("place"))
-    first = rows.groupBy(F.col("sha1").alias("of")).agg(F.max(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("of", F.col("first.place").alias("first_place"), F.col("first.page_id").alias("first_id"))
-    joined = rows.join(first, F.col("sha1") == F.col("of"), "left")
-    again = F.col("of").isNotNull() & (F.col("place") != F.col("first_place")) & (F.octet_length("payload") >= min_revisit_bytes)
+    number = F.coalesce("page_id", F.lit(-(1 << 63)))
+    each = rows.groupBy("sha1", number.alias("id")).agg(F.count("*").alias("alike"), F.max("place").alias("place"))
+    best = each.groupBy("sha1").agg(F.max(F.struct("id", "alike", "place")).alias("first"), F.sum("alike").alias("n")).where("n > 1")
+    first = stage(best.select("sha1", F.col("first.id").alias("first_id"), F.col("first.alike").alias("alike"), F.col("first.place").alias("first_place"), "n"))
+    joined = join_split(rows, first, "sha1", "n", pages.count(), "left")
+    other = (number != F.col("first_id")) | ((F.col("alike") > 1) & (F.col("place") != F.col("first_place")))
+    again = F.coalesce(other, F.lit(False)) & (F.octet_length("payload") >= min_revisit_bytes)
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     return joined.select(
         urn(F.col("page_id")).alias("record_id"),
@@ -318,12 +372,12 @@ def with_revisits(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
 def write(rows: DataFrame, path: str, max_file_bytes: int = MAX_FILE_BYTES) -> None:
     """Write records (any of the columns of SCHEMA) as archives below path."""
     rows.sparkSession.dataSource.register(WarcSource)
-    small_batches(rows.sparkSession, 500)
+    small_batches(rows.sparkSession)
     rows.write.format("warc").mode("append").option("maxfilebytes", str(max_file_bytes)).save(path)
 
 
 def read(spark, path: str, columns: str = SCHEMA) -> DataFrame:  # noqa: ANN001
-    """Records of the archives below path; columns is a schema of those that are wanted."""
+    """Records of the archives below path; columns is a schema of those that are wanted. Switches the session's push-down to Python sources on."""
     spark.dataSource.register(WarcSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("warc").schema(columns).load(path)
