@@ -10,7 +10,8 @@ its windows, so the order need not go deeper.
 Parsing is one pass without a shuffle. Only pages without main text have suffixes; these are dealt by hash and counted before the shuffle,
 so no host and no passage is one task, and a passage shows however many pages a host has and wherever the two that share it lie.
 Defined results: a null html is empty and gives an empty text; a page without a host forms a group with others like it; repeated rows of
-a page id count as one page, and so do pages with equal tokens, so they don't make each other boilerplate; null ids and urls stay null.
+a page id count as one page, and so do pages with equal tokens, so they don't make each other boilerplate; null ids and urls stay null; a long page
+is parsed whole; an empty table gives no rows; columns besides page_id, url and html don't matter.
 """
 
 from __future__ import annotations
@@ -40,7 +41,9 @@ BLOCKS = frozenset("address article aside blockquote details dialog div dl field
 HINTS = frozenset(
     "ad ads advert adverts advertisement advertising adsense adslot banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices sidebar menu navbar nav navigation breadcrumb breadcrumbs footer comment comments commentlist respond disqus reply replies share sharing social related recommended newsletter subscribe signup login popup modal pagination pager toolbar".split()
 )
-LAYOUT = frozenset("area articles bar block box buttons column container content form group header icons inner item items left links list main outer overlay page panel posts right section site slot top bottom unit widget widgets wrap wrapper".split())
+#: Of these, the words that mark an <article> as what a reader wrote below the main one.
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
+LAYOUT = frozenset("area articles bar block body box buttons column container content form group header icons inner item items left links list main meta outer overlay page panel posts right section site slot text thread top bottom unit widget widgets wrap wrapper".split())
 #: Ids that do, outside main text. Elsewhere, and on headings and links, an id is a name of what it holds.
 IDS = frozenset("ad ads banner breadcrumb breadcrumbs comments cookie-banner disqus_thread footer menu nav navbar navigation sidebar site-footer site-nav".split())
 SLUGGED = frozenset("a h1 h2 h3 h4 h5 h6 hgroup".split())
@@ -76,6 +79,20 @@ def hinted(name: str, attributes: str, in_main: bool = False) -> bool:
     return False
 
 
+def commentary(attributes: str) -> bool:
+    """Whether an <article> is a reader's comment: by a class of such words, or by its type."""
+    for key, value in _ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), value.strip("\"'").lower()
+        if key == "itemtype" and re.search(r"schema\.org/comment$", value):
+            return True
+        if key == "class":
+            for word in value.split():
+                parts = set(re.split(r"[-_]+", word))
+                if parts & COMMENTS and parts <= COMMENTS | LAYOUT | {""}:
+                    return True
+    return False
+
+
 def parse(page: str) -> tuple[str, list[str]]:
     """The main text, and the blocks of other text that isn't dropped."""
     main: list[str] = []
@@ -128,7 +145,9 @@ def parse(page: str) -> tuple[str, list[str]]:
         if name in VOID or attributes.endswith("/") and name not in MAIN and name not in BLOCKS:
             continue
         stack.append(name)
-        if not in_main and not dropped and name in MAIN:
+        if not dropped and name == "article" and attributes and commentary(attributes):
+            dropped = len(stack)
+        elif not in_main and not dropped and name in MAIN:
             in_main = len(stack)
         elif not dropped and (name in DROPPED or name == "header" and not in_main or name not in ("html", "body", "article", "main") and attributes and hinted(name, attributes, bool(in_main))):
             dropped = len(stack)
@@ -157,7 +176,7 @@ def extract(pages: DataFrame, min_tokens: int = MIN_TOKENS, trust_markup: bool =
 
     trust_markup: whether text inside <article> or <main> is main text whatever the host's other pages have; otherwise it is judged as other text is.
     """
-    small_batches(pages.sparkSession, 200)
+    small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
