@@ -1,12 +1,13 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Texts are lower-cased, everything that is no letter becomes a space, runs of spaces become one. Windows of 1 to `orders`
-characters are hashed into `buckets` cells. `fit` counts cells by language over a bounded sample of labelled rows, in Spark; the
+characters are hashed into cells: as many as keep the model of all languages within MODEL_BYTES, BUCKETS at most. `fit` counts cells by language over a bounded sample of labelled rows, in Spark; the
 matrix of log-probabilities (languages x buckets) is broadcast; `predict` sums its columns over the sparse cells of a batch in numpy.
 Scoring is one pass without a shuffle.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; ties go to the first language in alphabetical order;
-with no training rows every text is ``und``. Null ids never train. Repeated rows are predicted alike.
+with no training rows every text is ``und``. Null ids never train. Repeated rows are predicted alike; a long text is read whole; an empty table
+gives no rows; names that a table has already get a number.
 """
 
 from __future__ import annotations
@@ -20,11 +21,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import give_back, per_row, small_batches, spans, tidy
+from matchloom.llm.common import per_row, small_batches, spans, tidy
 
-#: Rows that training reads about; which ones, a hash of the id decides. Languages beyond MAX_LANGS with the fewest rows aren't learned.
-MAX_TRAIN_ROWS, MAX_LANGS = 20_000, 256
-BUCKETS, ORDERS, ALPHA = 1 << 16, 3, 0.5
+#: Rows that training reads about; which ones, a hash of the id decides.
+MAX_TRAIN_ROWS = 20_000
+#: Cells of an order at most, and bytes of the matrix that is broadcast: with more languages than 85 there are fewer cells, but never fewer languages.
+BUCKETS, ORDERS, ALPHA, MODEL_BYTES = 1 << 16, 3, 0.5, 64 << 20
 #: Characters handled at once.
 CHUNK_CHARS = 1 << 20
 _LETTER = regex.compile(r"\p{L}")
@@ -95,12 +97,14 @@ def _pieces(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.R
             yield batch.slice(lo, hi - lo), texts[lo:hi]
 
 
-def fit(rows: DataFrame, text: str, lang: str, max_langs: int = MAX_LANGS, buckets: int = BUCKETS, orders: int = ORDERS, alpha: float = ALPHA) -> Model:
-    """Counts are summed by task, then by Spark: at most languages x orders x buckets of them reach the driver."""
+def fit(rows: DataFrame, text: str, lang: str, buckets: int = BUCKETS, orders: int = ORDERS, alpha: float = ALPHA, model_bytes: int = MODEL_BYTES) -> Model:
+    """Counts are summed by task, then by Spark: at most model_bytes / 4 of them reach the driver, whose arrays are as large."""
     small_batches(rows.sparkSession)
     labelled = rows.select(rows[text].cast("string").alias("text"), rows[lang].cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # at most as many as training rows
     langs = sorted(sizes)
+    while buckets > 2 and 4 * orders * buckets * len(langs) > model_bytes:
+        buckets //= 2
     number = {x: i for i, x in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,17 +121,19 @@ def fit(rows: DataFrame, text: str, lang: str, max_langs: int = MAX_LANGS, bucke
             order, cell = np.nonzero(own[:, :buckets])
             yield pa.RecordBatch.from_arrays([pa.array([number[name]] * len(cell), pa.int32()), pa.array(order, pa.int32()), pa.array(cell, pa.int32()), pa.array(own[order, cell], pa.int64())], names=["l", "o", "c", "n"])
 
-    counts = np.zeros((orders, buckets + 1, len(langs)))
+    log_p = np.zeros((orders, buckets + 1, len(langs)), dtype=np.float32)
     if langs:
         found = labelled.mapInArrow(tidy(count), "l int, o int, c int, n long").groupBy("l", "o", "c").agg(F.sum("n").alias("n")).toArrow()
-        counts[found["o"].to_numpy(), found["c"].to_numpy(), found["l"].to_numpy()] = found["n"].to_numpy()
-    smooth = counts[:, :buckets] + alpha
-    log_p = np.zeros((orders, buckets + 1, len(langs)))
-    log_p[:, :buckets] = np.log(smooth) - np.log(smooth.sum(axis=1, keepdims=True))
-    if langs:  # what all languages share doesn't tell them apart; without it sums stay small
-        log_p[:, :buckets] -= log_p[:, :buckets].max(axis=2, keepdims=True)
+        log_p[found["o"].to_numpy(), found["c"].to_numpy(), found["l"].to_numpy()] = found["n"].to_numpy()
+        del found
+        for p in log_p:  # an order at a time, in place
+            total = p.sum(axis=0, dtype=np.float64) + alpha * buckets
+            p[:buckets] += alpha
+            np.log(p[:buckets], out=p[:buckets])
+            p[:buckets] -= np.log(total).astype(np.float32)
+            p[:buckets] -= p[:buckets].max(axis=1, keepdims=True)  # what all languages share doesn't tell them apart; without it sums stay small
     n = np.array([sizes[x] for x in langs], dtype=float)
-    return Model(langs, log_p.astype(np.float32), np.log(n / max(1.0, n.sum())))
+    return Model(langs, log_p, np.log(n / max(1.0, n.sum())))
 
 
 def predict(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -137,8 +143,7 @@ def predict(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
     small_batches(rows.sparkSession)
     shared, n_langs = rows.sparkSession.sparkContext.broadcast(model), len(model.langs)
 
-    @F.arrow_udf("struct<lang_pred:string,score:double>")
-    def tell(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def work(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         orders, buckets = m.log_p.shape[0], m.log_p.shape[1] - 1
         cells = Cells(buckets, orders)
@@ -161,7 +166,10 @@ def predict(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     names.append(m.langs[best])
                     scores.append(float(1 / np.exp(total[i] - total[i, best]).sum()))
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
-        give_back()
+
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def tell(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidy(work)(columns)
 
     told = fresh(rows, "told")
     return rows.withColumn(told, tell(rows[text].cast("string"))).select(*rows.columns, F.col(f"{told}.lang_pred").alias(fresh(rows, "lang_pred")), F.col(f"{told}.score").alias(fresh(rows, "score")))
