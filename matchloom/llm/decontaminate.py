@@ -10,7 +10,8 @@ the threshold. That bound loses nothing.
 The items' index goes to every task, a block of at most MAX_BLOCK_BYTES of item text at a time; more items mean more passes. Documents
 aren't shuffled; windows are aligned in batches of bounded size; a document is looked at whole.
 Defined results: null or empty texts and items match nothing, as do items of fewer words than a seed; repeated items are found separately;
-repeated documents each get rows.
+repeated documents each get rows; of places in a text that score alike the first is reported; a long text is looked at whole; an empty table, or
+an empty benchmark, gives no rows; other columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from matchloom.llm.common import WordHasher, give_back, mix, ngram_hashes, raw_texts, small_batches, spans, tidy
+from matchloom.llm.common import WordHasher, mix, ngram_hashes, raw_texts, small_batches, spans, tidy
 
 SEED_WORDS, THRESHOLD = 3, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -218,8 +219,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
 def _clean(shared: Broadcast, seed_words: int, threshold: float) -> Callable[[Column], Column]:
     """A function that tells which texts hold no item."""
 
-    @F.arrow_udf("boolean")
-    def clean(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def work(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hasher, index = WordHasher(), shared.value
         for column in columns:
             raws = raw_texts(column)
@@ -228,6 +228,9 @@ def _clean(shared: Broadcast, seed_words: int, threshold: float) -> Callable[[Co
                 for found in matches(index, hasher, raws[lo:hi], seed_words, threshold):
                     fine[lo + found[0]] = False
             yield pa.array(fine)
-        give_back()
+
+    @F.arrow_udf("boolean")
+    def clean(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidy(work)(columns)
 
     return clean

@@ -9,7 +9,8 @@ language's band or, where fewer than MIN_GROUP texts made that, by its script's,
 Texts are measured once, in one pass; the quartiles come from counts of rounded values, which tasks merge, so they are exact and don't
 depend on partitioning.
 
-Defined results: a null text counts as empty, has no words and fails; repeated rows each get a row; a null id stays null.
+Defined results: a null text counts as empty, has no words and fails; repeated rows each get a row; a null id stays null; ties of scripts go to the
+first in SCRIPTS; a long text is measured whole; an empty table gives no rows; other columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import Memo, by_chunk, fresh, give_back, mix, per_row, raw_texts, small_batches, spans, stage, tidy
+from matchloom.llm.common import Memo, by_chunk, fresh, mix, per_row, raw_texts, small_batches, spans, stage, tidy
 
 #: Bands where too few texts are there to learn from, by language or script: least and most characters per token in either vocabulary, most byte-fallback share, and least
 #: entropy as a share of the greatest that so many tokens can have (see `verdict`).
@@ -217,15 +218,17 @@ def keep_good(docs: DataFrame, text: str = "text", lang: str | None = "lang", ba
     fields = ["base_failed boolean", "kept boolean", "chars_per_token double", "chars_per_token_bytes double", "byte_share double", "entropy double", "script string", "n_tokens long"]
     kinds = [pa.bool_()] * 2 + [pa.float64()] * 4 + [pa.string(), pa.int64()]
 
-    @F.arrow_udf(f"struct<{', '.join(f.replace(' ', ':') for f in fields)}>")
-    def found(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def work(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         measurer = Measurer(*paths, use)
         for texts, langs in columns:
             raws, names, made = raw_texts(texts), langs.to_pylist(), []
             for lo, hi in spans(len(r or b"") for r in raws):
                 made += [x[5:] for x in measurer.rows(raws[lo:hi], names[lo:hi])]
             yield pa.StructArray.from_arrays([pa.array([x[k] for x in made], kind) for k, kind in enumerate(kinds)], names=[f.split()[0] for f in fields])
-        give_back()
+
+    @F.arrow_udf(f"struct<{', '.join(f.replace(' ', ':') for f in fields)}>")
+    def found(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        yield from tidy(work)(columns)
 
     language = (docs[lang] if lang else F.lit(None)).cast("string")
     measured = docs.withColumn(name, found(docs[text].cast("string"), language))
