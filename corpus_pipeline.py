@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 
 from matchloom.llm import decontaminate, near_dedup, packing, quality_classifier, quality_rules
-from matchloom.llm.common import stage
+from matchloom.llm.common import discard, stage_at
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,6 +40,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after the other, over documents; each result is written as Parquet and read again."""
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return reduce(lambda docs, step: stage(step[1](spark, docs, sf_dir)), STAGES, documents)
+    """All stages, one after the other, over documents; each result is written as Parquet and read again, and goes when the next one's is there.
+
+    Defined results: a null or empty text, or one of fewer than ten words, fails the quality rules; of rows alike in id and text one stays; an
+    empty table gives no rows; without labels of both classes the first stage keeps every row.
+    """
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, step in STAGES:
+        docs, folder = stage_at(step(spark, docs, sf_dir))
+        discard(spark, last)
+        last = folder
+    return docs
