@@ -62,8 +62,8 @@ class Tokens:
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.hasher = WordHasher(SPACED)
         self.hashes, self.flat = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype="<u4")
-        self.offsets, self.lengths, self.used = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
-        self.bytes, self.bytes_at, self.bytes_long = np.zeros(0, dtype=np.uint8), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)  # the words themselves
+        self.offsets, self.lengths, self.used = (np.zeros(0, dtype=np.int32) for _ in range(3))
+        self.bytes, self.bytes_at, self.bytes_long = np.zeros(0, dtype=np.uint8), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)  # the words themselves
         form = json.loads(self.tokenizer.to_str())
         steps = [(x["type"], x.get("behavior"), x.get("invert"), x.get("use_regex")) for x in (form["pre_tokenizer"] or {}).get("pretokenizers", [])]
         cuts = [x["pattern"].get("Regex") for x in (form["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"]
@@ -106,9 +106,9 @@ class Tokens:
             keep[:] = False
         self.flat, self.bytes = _gather(self.flat, self.offsets[keep], self.lengths[keep]), _gather(self.bytes, self.bytes_at[keep], self.bytes_long[keep])
         self.bytes_long = self.bytes_long[keep]
-        self.bytes_at = np.cumsum(self.bytes_long) - self.bytes_long
+        self.bytes_at = np.cumsum(self.bytes_long, dtype=np.int32) - self.bytes_long
         self.hashes, self.lengths = self.hashes[keep], self.lengths[keep]
-        self.offsets, self.used = np.cumsum(self.lengths) - self.lengths, np.zeros(len(self.hashes), dtype=np.int32)
+        self.offsets, self.used = np.cumsum(self.lengths, dtype=np.int32) - self.lengths, np.zeros(len(self.hashes), dtype=np.int32)
 
     def _letters(self, words: list[str]) -> list[bytes]:
         """Ids of words of lower-case Latin-1 letters, five hundred in a call."""
@@ -126,7 +126,7 @@ class Tokens:
         whole = {i: self._encode(raw.decode("utf-8", "replace")) for i, raw in enumerate(raws) if raw and (not self.by_word or any(x in raw for x in _WHOLE))}
         hashes, starts, joined, first, last = self.hasher.places(b"" if i in whole else raw for i, raw in enumerate(raws))
         distinct, which = np.unique(hashes, return_inverse=True)
-        if len(self.hashes) + len(distinct) > self.most:
+        if len(self.hashes) + len(distinct) > self.most or max(len(self.flat), len(self.bytes)) > 1 << 30:  # places are 32-bit numbers
             self._forget()
         at = np.minimum(np.searchsorted(self.hashes, distinct), max(0, len(self.hashes) - 1))
         new = np.flatnonzero(self.hashes[at] != distinct) if len(self.hashes) else np.arange(len(distinct))
@@ -140,7 +140,8 @@ class Tokens:
             self.used[at] += 1
         of = at[which]
         data = np.frombuffer(joined, dtype=np.uint8)
-        for k in np.flatnonzero(~_equal(data, first, last - first, self.bytes, self.bytes_at[of], self.bytes_long[of])).tolist():  # another word with the hash of a remembered one
+        same = [_equal(data, first[i : i + 50_000], (last - first)[i : i + 50_000], self.bytes, self.bytes_at[of[i : i + 50_000]], self.bytes_long[of[i : i + 50_000]]) for i in range(0, len(of), 50_000)]
+        for k in np.flatnonzero(~np.concatenate([np.zeros(0, dtype=bool), *same])).tolist():  # another word with the hash of a remembered one
             i = int(np.searchsorted(starts, k, side="right")) - 1
             if i not in whole:
                 whole[i] = self._encode(raws[i].decode("utf-8", "replace"))
@@ -152,7 +153,8 @@ class Tokens:
 
 def _gather(flat: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """flat[at[i]:at[i] + lengths[i]] for all i, one after the other."""
-    return flat[np.repeat(at - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())]
+    ends = np.cumsum(lengths, dtype=np.int64)
+    return flat[np.repeat(at - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 def _equal(a: np.ndarray, a_at: np.ndarray, a_long: np.ndarray, b: np.ndarray, b_at: np.ndarray, b_long: np.ndarray) -> np.ndarray:

@@ -32,7 +32,7 @@ from matchloom.llm.common import discard, fresh, give_back, raw_texts, small_bat
 
 MAX_LABELLED, MAX_TAUGHT, ROUNDS, SURE = 4000, 200, 3, 0.97
 BUCKETS, LAYOUT, NAME_CELLS, LENGTHS = 2048, 10, 64, 16
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: Confidences are compared in steps of this, so that they don't depend on the last bits of sums.
 STEP = 1e-9
 
