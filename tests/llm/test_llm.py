@@ -512,3 +512,328 @@ def test_pipeline_stages(spark, docs, tmp_path):
             assert {r[0] for r in after.select("doc_id").collect()} == set(kinds.values())
         now = after
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+# What follows covers the second round: hashing, odd input of single operators, and methods against plain versions of themselves.
+
+
+def thue_morse(n):
+    out = "a"
+    while len(out) < n:
+        out += out.translate(str.maketrans("ab", "ba"))
+    return out
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    """The Thue-Morse word of 1,024 letters and its complement: a polynomial hash modulo 2**64 can't tell them apart."""
+    from tokenizers import Tokenizer
+
+    a = thue_morse(1024)
+    b = a.translate(str.maketrans("ab", "ba"))
+    hashes, _ = WordHasher().of([a.encode(), b.encode()])
+    assert hashes[0] != hashes[1]
+    rest = " ".join(f"w{i}" for i in range(4))
+    table = spark.createDataFrame([(1, a), (2, b), (3, f"{a} {rest}"), (4, f"{b} {rest}")], "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.classes(table).collect()} == {i: i for i in (1, 2, 3, 4)}
+    item = spark.createDataFrame([(1, f"{a} {rest}")], "item_id long, text string")
+    assert {(r["doc_id"], r["score"]) for r in decontaminate.contaminated(table, item).collect()} == {(3, 1.0), (4, 0.8)}
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {i: zlib.crc32(np.asarray([*tokenizer.encode(t, add_special_tokens=False).ids, 1], dtype="<u4").tobytes()) for i, t in ((r["doc_id"], r["text"]) for r in table.collect())}
+    assert {r["doc_id"]: r["ids_crc32"] for r in packing.best_fit(table).collect()} == want
+    counts = {r["doc_id"]: r["log_prob"] for r in lm_score.score(table).collect()}
+    assert counts[1] == pytest.approx(math.log(2 / 12))  # each long word twice among twelve
+
+
+def test_tokens_compare_words_not_hashes(docs):
+    from tokenizers import Tokenizer
+
+    class Weak(WordHasher):
+        def _hashes(self, *a):
+            return super()._hashes(*a) & np.uint64(127)
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    raws = [(t or "").encode() for t in list(texts(docs).values())[:40]]
+    tokenizer, tokens = Tokenizer.from_file(path), packing.Tokens(path)
+    tokens.hasher = Weak(packing.SPACED)
+    want = [np.asarray(tokenizer.encode(r.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes() for r in raws]
+    assert tokens.of(raws[:30]) == want[:30]
+    assert tokens.of(raws[20:]) == want[20:]
+
+
+def test_every_licence_rule_finds_its_text_and_no_other():
+    """A text made from each rule's pattern is found, by the gate too; with its last word changed the rule says nothing."""
+    from re import _constants as C
+    from re import _parser
+
+    def sample(tree, long):
+        out = ""
+        for op, av in tree:
+            if op is C.LITERAL:
+                out += chr(av)
+            elif op is C.BRANCH:
+                out += sample(av[1][-1 if long else 0], long)
+            elif op is C.SUBPATTERN:
+                out += sample(av[3], long)
+            elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
+                out += sample(av[2], long) * (max(av[0], min(1, av[1])) if long else av[0])
+            elif op is C.IN:
+                out += chr(av[0][1]) if av[0][0] is C.LITERAL else "2"
+            elif op is C.ANY:
+                out += "x"
+            else:
+                assert op in (C.ASSERT, C.ASSERT_NOT)
+        return out
+
+    scanner, every = license_scan.Scanner(), license_scan.rules()
+    assert len(every) > 450
+    assert len(license_scan.SIGNATURES) > 170
+    for rule in every:
+        for long in (False, True):
+            text = sample(_parser.parse(rule.pattern.pattern.decode()), long).encode()
+            assert text == b" ".join(text.translate(FOLD).split()), text  # folded already
+            assert rule.pattern.fullmatch(text), text
+            assert rule.keyword in {scanner.words.get(w) for w in text.split()}, text
+            assert not rule.pattern.search(b"x" + text[:-1] + b"qqq"), text
+
+
+def detections_by_force(line):
+    """All rules on a text; a detection goes if one that is kept, of its priority or a higher one, holds it."""
+    found = []
+    for rule in license_scan.rules():
+        for m in rule.pattern.finditer(line):
+            groups = [g.decode() for g in m.groups() if g]
+            version = next((g.replace(" ", ".") for g in groups if g[0].isdigit()), "")
+            later = "-or-later" if any("later" in g for g in groups) else "-only" if "only" in groups else ""
+            found.append((-rule.priority, m.start() - m.end(), m.start(), rule.label + (version and f"-{version}") + later))
+    kept = []
+    for p, size, at, label in sorted(found):
+        if not any(a <= at and at - size <= b for a, b, _ in kept):
+            kept.append((at, at - size, label))
+    return {label for *_, label in kept}
+
+
+def test_licence_labels_equal_brute_force(docs):
+    notices = [
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+        "BSD-3-Clause or BSD 3-Clause License, MIT-licensed, MIT-style license, PHP License, version 3.01, http://creativecommons.org/licenses/by-sa/4.0/",
+    ]
+    scanner = license_scan.Scanner()
+    for text in [*notices, *(t or "" for t in texts(docs).values())]:
+        line = b" ".join(text.encode().translate(FOLD).split())
+        base = {label for phrase, label in license_scan.BASE.items() if re.search(rf"(?<![^ ]){phrase}(?![^ ])", line.decode())}
+        assert {x for x in scanner.scan(text.encode())[5].split(",") if x} == base | detections_by_force(line)
+    assert [scanner.scan(t.encode())[5] for t in notices] == ["gpl,gpl-2-or-later", "apache,apache-2.0", "bsd-3-clause,cc-by-sa-4.0,mit,php-3.01"]
+    assert scanner.scan(b"licensed under the gpl 3 2007 edition")[5] == "gpl-3"
+
+
+def test_archives_of_others_and_empty_ones(spark, tmp_path):
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.round_trip(none, path=f"file://{tmp_path}/none").count() == 0
+    (tmp_path / "bare").mkdir()
+    assert warc.read(spark, f"file://{tmp_path}/bare").count() == 0
+    body = b"HTTP/1.1 200 OK\r\n\r\nhello"
+    head = b"WARC/1.0\r\nwarc-type:response\r\nWARC-TARGET-URI: http://x:80/a\r\nContent-length:%d\r\n\r\n" % len(body)
+    other = b"WARC/1.0\r\nWARC-Type: metadata\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.warc").write_bytes(head + body + b"\r\n\r\n" + other)
+    rows = warc.read(spark, f"file://{tmp_path}/in").collect()
+    assert [(r["record_type"], r["target_uri"], r["content_length"], bytes(r["payload"])) for r in rows] == [("response", "http://x:80/a", len(body), b"hello"), ("metadata", None, 3, b"abc")]
+    by = lambda test: [r["record_type"] for r in warc.read(spark, f"file://{tmp_path}/in").where(test).collect()]
+    assert by("target_uri IS NOT NULL") == by("target_uri LIKE 'http://x%'") == by("content_length > 3") == by("record_type = 'response'") == ["response"]
+    assert by("target_uri IS NULL") == by("content_length <= 3") == by("record_type IN ('metadata', 'x')") == ["metadata"]
+
+
+def test_archives_of_a_page_that_most_have(spark, tmp_path):
+    """A third of all pages are empty, some rows repeat; other columns have clashing names."""
+    rows = [(i, f"u{i}", "" if i % 3 == 0 else "same" if i % 3 == 1 and i > 30 else f"own {i}", "p", "response") for i in range(90)] + [(5, "u5", "own 5", "p", "revisit")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload string, record_type string").repartition(5)
+    found = warc.round_trip(pages, path=f"file://{tmp_path}/w").collect()
+    last = {}
+    for i, _, h, *_ in rows:
+        last[h] = max(i, last.get(h, -1))
+    body = {i: h for i, _, h, *_ in rows}
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in found if r["page_id"] != 5) == sorted((i, "response", None) if last[h] == i else (i, "revisit", last[h]) for i, h in body.items() if i != 5)
+    assert sorted(r["record_type"] for r in found if r["page_id"] == 5) == ["response", "revisit"]
+
+
+def test_pages_on_odd_rows(spark):
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    rows = [(1, "http://h", "<article>a</article>", "t", 5, "x"), (None, None, None, "t", 5, "x"), (1, "http://h", "<article>a</article>", "t", 5, "x"), (2, "http://h", "<article>" + "word " * 50_000 + "</article>", None, None, None)]
+    found = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long, blocks string")).collect()
+    assert sorted((r["page_id"] or 0, len(r["text"]), r["n_chars"]) for r in found) == [(0, 0, 0), (1, 1, 1), (1, 1, 1), (2, 249_999, 249_999)]
+
+
+def test_comments_in_articles_of_their_own():
+    for page in (
+        '<article>Story</article><article class="comment">reader says</article>',
+        '<article>Story<article class="comment-body">reader <article class="reply">says</article></article></article>',
+        '<article>Story</article><article itemscope itemtype="https://schema.org/Comment">reader says</article>',
+        '<article class="post">Story</article><section class="comments-list"><article>reader says</article></section>',
+    ):
+        assert html_extract.parse(page) == ("Story", [])
+    assert html_extract.parse('<main class="content sidebar-left"><article class="post-comment-law">Story</article></main>')[0] == "Story"
+
+
+def test_lm_levels_and_settings_change_nothing(spark, docs):
+    want = {r["doc_id"]: (r["n_words"], r["log_prob"]) for r in lm_score.score(docs).collect()}
+    several = lm_score.score(docs.repartition(3), block_bytes=5_000, range_bytes=2_000, fan_bits=3)  # three levels or more
+    license_scan.scan(docs)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = {r["doc_id"]: (r["n_words"], r["log_prob"]) for r in several.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    assert got.keys() == want.keys()
+    for d, (n, x) in want.items():
+        assert got[d] == (n, None if x is None else pytest.approx(x, rel=1e-9))
+
+
+def test_calibration_ends_where_the_loss_is_flat():
+    rng = np.random.default_rng(4)
+    for shift, spread in ((0, 1), (3, 0.2), (-40, 25), (0.5, 300)):
+        z = rng.normal(size=(800, 2)) * spread + shift
+        y = (rng.random(800) < 1 / (1 + np.exp(-np.clip(2 * z[:, 0] / spread - z[:, 1] / spread, -30, 30)))).astype(float)
+        w, slope = quality_classifier.calibrate(z, y, rng.random(800) + 0.5)
+        assert slope < 1e-2
+    z = np.linspace(-8, 8, 400)  # log-odds four times too sure
+    y = (rng.random(400) < 1 / (1 + np.exp(-z / 4))).astype(float)
+    a, b = quality_classifier.platt(z, y)
+    assert (a, b) == (pytest.approx(0.25, abs=0.08), pytest.approx(0, abs=0.4))
+    assert quality_classifier.platt(-z, y)[0] == 0  # a view that is always wrong says nothing
+
+
+def test_cotraining_in_spark_equals_cotraining_in_memory(spark):
+    """The same model as from all rows in one array, with pseudo-labels from every unlabelled row."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(400).collect()
+    table = spark.createDataFrame([(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    given = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    model = quality_classifier.fit(table, spark.createDataFrame(list(given.items()), "doc_id long, quality int"), max_taught=20, rounds=2)
+    rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
+    marked = [r for r in rows if r["doc_id"] in given]
+    free = sorted((r for r in rows if r["doc_id"] not in given), key=lambda r: r["doc_id"])
+    every = marked + free
+    a = quality_classifier.text_view([(r["text"] or "").encode() for r in every])
+    b = quality_classifier.meta_view([[r["lang"], r["source"]] for r in every], [r["n_chars"] for r in every])
+    y = np.array([given.get(r["doc_id"], -1) for r in every])
+    sizes = Counter(given.values())
+    weights = np.array([sizes[v] / (y == v).sum() if v >= 0 else 1.0 for v in y])
+    order = np.array([zlib.crc32(str(r["doc_id"]).encode()) for r in every])
+    plain = quality_classifier.cotrain(a, b, y, order, 2, weights=weights, max_taught=20)
+    assert model.text == pytest.approx(plain.text, abs=1e-3)
+    assert model.meta == pytest.approx(plain.meta, abs=1e-3)
+    assert model.combine == pytest.approx(plain.combine, abs=2e-2)
+    assert quality_classifier.meta_view([["en", "s"]], [5.0]).shape[1] == b.shape[1]
+
+
+def test_quality_is_calibrated_on_unseen_labels(spark):
+    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    seen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    rows = quality_classifier.classify(big, labels.where(seen)).join(labels.where(~seen), "doc_id").collect()
+    loss = -np.mean([math.log(r["score"] if r["quality"] else 1 - r["score"]) for r in rows])
+    share = np.mean([r["quality"] for r in rows])
+    assert loss < 0.35 * -(share * math.log(share) + (1 - share) * math.log(1 - share))
+    assert np.mean([r["score"] for r in rows]) == pytest.approx(share, abs=0.05)
+
+
+def test_language_equals_plain_naive_bayes(spark, docs):
+    """The same sums, one window at a time; and with little room for the model fewer cells, but every language."""
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.limit(40).collect() if r["text"] and r["lang"]]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang_id.fit(table, "text", "lang", buckets=1 << 10)
+    cells = lang_id.Cells(1 << 10)
+    counts = {(lang, k): Counter() for lang in model.langs for k in range(3)}
+    for _, t, lang in rows:
+        for k, found in enumerate(cells.of([t])[0]):
+            counts[lang, k].update(found[found < 1 << 10].tolist())
+    n = Counter(lang for *_, lang in rows)
+    got = {r["doc_id"]: (r["lang_pred"], r["score_1"] if "score_1" in r else r["score"]) for r in lang_id.predict(table, model).collect()}
+    for i, t, _ in rows:
+        total = {}
+        for lang in model.langs:
+            total[lang] = math.log(n[lang] / len(rows))
+            for k, found in enumerate(cells.of([t])[0]):
+                size = sum(counts[lang, k].values()) + 0.5 * (1 << 10)
+                total[lang] += sum(math.log((counts[lang, k][c] + 0.5) / size) for c in found[found < 1 << 10].tolist())
+        best = max(total, key=lambda x: (total[x], x))
+        assert got[i] == (best, pytest.approx(1 / sum(math.exp(v - total[best]) for v in total.values()), abs=1e-3))
+    many = spark.createDataFrame([(i, f"text number {i}", f"l{i % 300}") for i in range(600)], "doc_id long, text string, lang string")
+    small = lang_id.fit(many, "text", "lang", model_bytes=1 << 20)
+    assert len(small.langs) == 300
+    assert small.log_p.nbytes <= (1 << 20) + 4 * 3 * 300
+
+
+def test_buckets_that_most_rows_are_in(spark):
+    """A third of all rows in one group of near copies, and weights that decide: repeated windows count as often as they stand."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(120)]
+    rows = [(i, " ".join(base[:110] + [word() for _ in range(5)])) for i in range(100)] + [(1000 + i, " ".join(word() for _ in range(40))) for i in range(200)]
+    phrase = [word() for _ in range(5)]
+    rows += [(2000, " ".join(phrase * 2 + base[:20])), (2001, " ".join(phrase * 12 + base[:20]))]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    sets = {i: Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for i, w in ((i, t.split()) for i, t in rows)}
+    alike = lambda x, y: sum((x & y).values()) / sum((x | y).values())
+    assert all(alike(sets[0], sets[i]) >= 0.8 for i in range(100))
+    assert len(sets[2000] & sets[2001]) / len(sets[2000] | sets[2001]) >= 0.8 > alike(sets[2000], sets[2001])
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(table).collect()}
+    assert got == {i: 0 if i < 100 else i for i in sets}
+    as_sets = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(table, weights="set").collect()}
+    assert as_sets == got | {2001: 2000}
+
+
+def test_joined_plan_equals_broadcast_plan(spark, docs, monkeypatch):
+    parts = packing.pieces(docs.select("doc_id", "text"))
+    key = lambda t: sorted((r["length"], r["sequence_id"], r["offset"]) for r in t.collect())
+    want = key(packing.pack(parts))
+    monkeypatch.setattr(packing, "MAX_BROADCAST_RUNS", 0)
+    assert key(packing.pack(parts)) == want
+    monkeypatch.setattr(near_dedup, "MAX_BROADCAST_ROWS", 0)
+    assert near_dedup.keep_one(docs).count() == len({r["class_id"] for r in near_dedup.classes(docs).collect()})
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd, none, tmp_path):
+    for name, table in (("odd", odd), ("none", none)):
+        folder = f"{tmp_path}/{name}"
+        table.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, 1), (9, 0)], "doc_id long, quality int").limit(0).write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(1, "lost id one two three")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        found = corpus_pipeline.run(spark, folder).collect()
+        assert {r["doc_id"] for r in found} == ({1} if name == "odd" else set())
+
+
+def test_kept_equals_brute_force(spark):
+    """Bands from numpy's quartiles over the same groups, and each text judged by them in plain Python."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    junk = [(100_000 + i, " ".join("".join(random.Random(i * 100 + k).choices("xqzjkv0123456789", k=12)) for k in range(60)), "en") for i in range(4)]
+    table = table.unionByName(spark.createDataFrame(junk, "doc_id long, text string, lang string"))
+    found = quality_rules.measure(table).join(table.select("doc_id", "lang", "text"), "doc_id").collect()
+    piece = quality_rules.Vocabularies(*quality_rules._paths(None, None)).piece
+    sizes = {r["doc_id"]: sum(map(len, piece.encode((r["text"] or "").split()))) if r["text"] else 0 for r in found}
+    length = lambda i: min(max(int(math.log2(max(1, sizes[i]))), quality_rules.LENGTHS[0]), quality_rules.LENGTHS[1])
+    values = lambda r: (r["chars_per_token"], r["chars_per_token_bytes"], r["byte_share"], r["entropy"] / min(math.log2(max(2, sizes[r["doc_id"]])), 10))
+    groups = {}
+    for r in found:
+        if not r["base_failed"]:
+            for kind in (("lang", r["lang"]), ("script", r["script"])):
+                groups.setdefault((*kind, length(r["doc_id"])), []).append([round(v, 3) for v in values(r)])
+    bands = {}
+    for key, rows in groups.items():
+        if key[1] is not None and len(rows) >= quality_rules.MIN_GROUP:
+            low, high = np.percentile(np.array(rows), [25, 75], axis=0)
+            reach = quality_rules.SPREAD * np.maximum(high - low, quality_rules.LEAST_WIDTH)
+            bands[key] = [(a if below else -math.inf, b if above else math.inf) for a, b, (below, above) in zip(low - reach, high + reach, ((1, 1), (1, 1), (0, 1), (1, 0)), strict=True)]
+    judged = 0
+    for r in found:
+        band = bands.get(("lang", r["lang"], length(r["doc_id"]))) or bands.get(("script", r["script"], length(r["doc_id"])))
+        if r["base_failed"]:
+            assert not r["kept"]
+        elif band:
+            judged += 1
+            if all(abs(v - edge) > 2e-3 for v, own in zip(values(r), band, strict=True) for edge in own):  # next to an edge rounding decides
+                assert r["kept"] == all(a <= v <= b for v, (a, b) in zip(values(r), band, strict=True)), r
+        else:
+            assert r["kept"] == quality_rules.verdict(quality_rules.BANDS.get(r["lang"]) or quality_rules.BANDS[r["script"]], r["chars_per_token"], r["chars_per_token_bytes"], r["byte_share"], r["entropy"], sizes[r["doc_id"]])
+    assert judged > 500
+    assert {r["doc_id"] for r in found if r["kept"]}.isdisjoint(i for i, *_ in junk)
