@@ -21,7 +21,7 @@ def candidate_stream(targets: DataFrame, s1: DataFrame, index: DataFrame) -> Dat
 
 
 def keep_best(pairs: DataFrame, path: str, checkpoint: str, k: int = blocking.TOP_K) -> DataStreamWriter:
-    """A writer that keeps, per batch, the k best of the batch and of what was kept; each batch writes its own table, so a repeated batch is safe."""
+    """A writer that keeps, per batch, the k best of the batch and of what was kept; each batch writes its own table, so a repeated batch is safe; the last two stay."""
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -29,5 +29,8 @@ def keep_best(pairs: DataFrame, path: str, checkpoint: str, k: int = blocking.TO
         if number:
             rows = rows.unionByName(spark.read.parquet(f"{path}/batch={number - 1}").drop("blocking_rank")).distinct()
         blocking.top_k(rows, k).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if number > 1:  # a batch may run again, so the table before it stays
+            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={number - 2}")
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return pairs.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
