@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
 from matchloom.functions.text import has_digit, jaccard, length_ratio, tokens
 
@@ -153,6 +154,18 @@ def pair_text(name: str, address: str, country: str, label: str) -> Column:
     return F.concat(F.lit(f"RECORD {label}\n[NAME] "), F.col(name), F.lit("\n[ADDRESS] "), F.col(address), F.lit("\n[COUNTRY] "), F.col(country))
 
 
-def finite(value: Column) -> Column:
-    """Null for what JSON can't say."""
-    return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+def finite(value: Column, kind: DataType | None = None) -> Column:
+    """value without what JSON can't say: null for a number that isn't finite, also inside arrays, structs and maps of the type `kind`."""
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: finite(x, kind.elementType))
+    if isinstance(kind, StructType):
+        return F.when(value.isNotNull(), F.struct(*[finite(value[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    if isinstance(kind, MapType):
+        return F.transform_values(value, lambda _, x: finite(x, kind.valueType))
+    if kind is None or isinstance(kind, DoubleType | FloatType):
+        return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+    return value
+
+
+def finite_rows(rows: DataFrame) -> DataFrame:
+    return rows.select(*[finite(F.col(f.name), f.dataType).alias(f.name) for f in rows.schema.fields])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 COLUMNS = ("name", "address", "country")
@@ -46,6 +46,32 @@ def shared_targets(truth: DataFrame) -> DataFrame:
     return per.agg(F.count("*").alias("targets"), F.count_if(F.col("n") > 1).alias("shared"), F.coalesce(F.max("n"), F.lit(0)).alias("most"))
 
 
+def shared_examples(truth: DataFrame, n: int = 10) -> DataFrame:
+    """target_id, n and records of the n targets that most records are linked to, of those linked to several; records are the first five."""
+    per = truth.select("target_id", "s1_id").distinct().groupBy("target_id").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "target_id").limit(n)
+    first = Window.partitionBy("target_id").orderBy("s1_id")
+    least = truth.select("target_id", "s1_id").distinct().join(F.broadcast(per), "target_id").withColumn("nth", F.row_number().over(first)).where("nth <= 5")  # n rows
+    return least.groupBy("target_id", "n").agg(F.concat_ws(",", F.array_sort(F.collect_list("s1_id"))).alias("records"))
+
+
+def review(rows: DataFrame, kinds: dict[str, tuple[str, ...]]) -> DataFrame:
+    """case_type, error_category, n and share of its case of hand-reviewed rows, and `gate`: the first of kinds that names the category, if any."""
+    per = rows.groupBy("case_type", "error_category").agg(F.count("*").alias("n"))
+    whole = per.groupBy("case_type").agg(F.sum("n").alias("of"))
+    gate = F.coalesce(*[F.when(F.col("error_category").isin(*c), F.lit(k)) for k, c in kinds.items()], F.lit(None).cast("string"))
+    return per.join(F.broadcast(whole), "case_type").select("case_type", "error_category", "n", (F.col("n") / F.col("of")).alias("share"), gate.alias("gate"))  # a row for each case
+
+
+def review_gates(rows: DataFrame, kinds: dict[str, tuple[str, ...]], least: dict[str, float], unclear: tuple[str, ...] = ()) -> DataFrame:
+    """gate, n, share, and status: cleared if the share of its categories reaches the gate's least, indeterminate if it would with all unclear ones."""
+    total = F.greatest(F.lit(1), F.count("*"))
+    counts = [F.count_if(F.col("error_category").isin(*c)).alias(k) for k, c in kinds.items()]
+    one = rows.agg(total.alias("total"), F.count_if(F.col("error_category").isin(*unclear)).alias("open"), *counts)
+    each = one.select("total", "open", F.explode(F.array(*[F.struct(F.lit(k).alias("gate"), F.col(k).alias("n"), F.lit(float(least[k])).alias("least")) for k in kinds])).alias("x")).select("total", "open", "x.*")
+    share, most = F.col("n") / F.col("total"), (F.col("n") + F.col("open")) / F.col("total")
+    return each.select("gate", "n", share.alias("share"), F.when(share >= F.col("least"), "cleared").when(most >= F.col("least"), "indeterminate").otherwise("not_cleared").alias("status"))
+
+
 def links_by_source(truth: DataFrame) -> DataFrame:
     return truth.groupBy(F.substring("target_id", 1, 2).alias("source")).agg(F.count("*").alias("links"))
 

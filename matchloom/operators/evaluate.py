@@ -89,28 +89,28 @@ def select_threshold(spine: DataFrame, truth: DataFrame, scored: DataFrame, scor
 
 def slices(spine: DataFrame, truth: DataFrame, predicted: DataFrame, targets: DataFrame) -> DataFrame:
     """Metrics of all, of each country of spine(s1_id, country) and of each target source, where truth and predictions are both cut."""
-    sources = targets.select(F.col("entity_id").alias("target_id"), F.col("source"))
-    cut = lambda t: t.join(sources, "target_id").select("s1_id", "target_id", "source")
-    whole = metrics(counts_by_entity(spine, truth, predicted)).select(F.lit("ALL").alias("slice"), "*")
-    names = spine.select(F.concat(F.lit("country:"), "country").alias("slice"), "s1_id")
-    countries = metrics(counts_by_entity(spine, truth, predicted).join(names, "s1_id"), ["slice"])
-    each = F.broadcast(targets.select("source").distinct())  # as many rows as sources
-    tagged = lambda t: cut(t).select(F.concat(F.lit("source:"), "source").alias("slice"), "s1_id", "target_id")
-    n_true = tagged(truth).groupBy("slice", "s1_id").agg(F.count_distinct("target_id").alias("n_true"))
-    shown = tagged(predicted).distinct().join(tagged(truth).distinct().withColumn("hit", F.lit(1)), ["slice", "s1_id", "target_id"], "left").groupBy("slice", "s1_id").agg(F.count("*").alias("n_predicted"), F.count("hit").alias("hits"))
-    grid = spine.select("s1_id").join(each).select(F.concat(F.lit("source:"), "source").alias("slice"), "s1_id")
-    by_source = metrics(grid.join(n_true, ["slice", "s1_id"], "left").join(shown, ["slice", "s1_id"], "left").na.fill(0), ["slice"])
-    return whole.unionByName(countries).unionByName(by_source)
+    known = [r["source"] for r in targets.select("source").distinct().orderBy("source").collect()]  # S2 and S3
+    pairs = truth.select("s1_id", "target_id").distinct().withColumn("t", F.lit(1)).join(predicted.select("s1_id", "target_id").distinct().withColumn("p", F.lit(1)), ["s1_id", "target_id"], "full_outer").na.fill(0)
+    of_target = pairs.join(targets.select(F.col("entity_id").alias("target_id"), "source"), "target_id", "left")
+    both = lambda more: F.explode(F.array(F.lit("ALL"), F.concat(F.lit("country:"), "country"), *more)).alias("slice")
+    cut = of_target.join(spine.select("s1_id", "country"), "s1_id").select("s1_id", both([F.concat(F.lit("source:"), "source")]), "t", "p").where("slice IS NOT NULL")
+    counts = cut.groupBy("slice", "s1_id").agg(F.sum("t").alias("n_true"), F.sum("p").alias("n_predicted"), F.sum(F.col("t") * F.col("p")).alias("hits"))
+    rows = spine.select("s1_id", both([F.lit(f"source:{s}") for s in known]))
+    return metrics(rows.join(counts, ["slice", "s1_id"], "left").na.fill(0), ["slice"])
 
 
 def bootstrap(per: DataFrame, rounds: int = 1000, seed: int = 2026) -> DataFrame:
-    """low and high: the 2.5 and 97.5 percentiles of the mean F0.5 over resamples, each record drawn Poisson(1) times by a hash of its id."""
+    """low and high: the 2.5 and 97.5 percentiles of the mean F0.5 over resamples, each record drawn Poisson(1) times by a hash of its id.
+
+    A record's rows for the rounds are made and added up in one task, so only sums by round are shuffled.
+    """
     n = F.broadcast(per.sparkSession.range(rounds).withColumnRenamed("id", "round"))
-    u = F.pmod(F.xxhash64("s1_id", "round", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
+    place = F.substring(F.md5(F.concat_ws(":", F.col("s1_id"), F.col("round"), F.lit(seed))), 1, 8)
+    u = F.conv(place, 16, 10).cast("long") / float(1 << 32)
     bounds, total, p = [], 0.0, 2.718281828459045**-1
     for i in range(12):
         total += p
-        bounds.append(total)
+        bounds.append(round(total, 12))
         p /= i + 1
     times = sum(((u >= b).cast("int") for b in bounds), F.lit(0))
     f = entity_f05(F.col("n_true"), F.col("n_predicted"), F.col("hits"))
@@ -118,6 +118,21 @@ def bootstrap(per: DataFrame, rounds: int = 1000, seed: int = 2026) -> DataFrame
     return means.agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
 
 
+def diagnostic(spine: DataFrame, truth: DataFrame, scored: DataFrame, score: str = "score") -> DataFrame:
+    """s1_id, split, n_true and max_score (null without candidates) of every record of spine(s1_id, split)."""
+    best = scored.groupBy("s1_id").agg(F.max(score).alias("max_score"))
+    links = truth.groupBy("s1_id").agg(F.count_distinct("target_id").alias("n_true"))
+    return spine.select("s1_id", "split").join(links, "s1_id", "left").join(best, "s1_id", "left").na.fill(0, ["n_true"])
+
+
+def totals(spine: DataFrame, candidates: DataFrame, matches: DataFrame) -> DataFrame:
+    """One row: records, candidate pairs and matches, and records without a match."""
+    n = matches.groupBy("s1_id").agg(F.count("*").alias("m"))
+    c = candidates.groupBy("s1_id").agg(F.count("*").alias("c"))
+    per = spine.select("s1_id").join(c, "s1_id", "left").join(n, "s1_id", "left").na.fill(0)
+    return per.agg(F.count("*").alias("records"), F.sum("c").alias("candidates"), F.sum("m").alias("matches"), F.count_if(F.col("m") == 0).alias("unmatched"))
+
+
 def score_quantiles(spine: DataFrame, truth: DataFrame, scored: DataFrame, score: str = "score") -> DataFrame:
     """Of the greatest score of each record (0 without candidates), by whether it has links: min, quartiles, 95th percentile, max."""
     best = scored.groupBy("s1_id").agg(F.max(score).alias("best"))

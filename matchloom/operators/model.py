@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+import time
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -91,3 +94,59 @@ def keeps(new: dict, old: dict, slack: float = 0.02) -> bool:
 
 def describe(bundle: Bundle) -> dict:
     return {"features": bundle.features, "threshold": bundle.threshold, "flags": bundle.flags, "parameters": bundle.parameters()}
+
+
+def score_pairs(texts: DataFrame, scorer: Callable[[], Callable[[list[str], list[str]], list[float]]], name: str = "score", batch: int = 64) -> DataFrame:
+    """texts(text_a, text_b, ...) with the score of each pair. scorer is called once a task, where it loads its model, and gives a function for batches.
+
+    A hook for rerankers, of which none is here; a score that isn't finite and from 0 to 1 is refused.
+    """
+
+    @F.arrow_udf("double")
+    def judge(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        score = scorer()
+        for left, right in columns:
+            a, b, out = left.to_pylist(), right.to_pylist(), []
+            for at in range(0, len(a), batch):
+                out += score(a[at : at + batch], b[at : at + batch])
+            if len(out) != len(a) or not all(0 <= x <= 1 for x in out):
+                raise ValueError("a scorer gives each pair a score from 0 to 1")
+            yield pa.array(out, pa.float64())
+
+    return texts.withColumn(name, judge("text_a", "text_b"))
+
+
+def require_compliant(licence: str | None, parameters: int | None, licences: tuple[str, ...] = ("mit", "apache-2.0"), most: int = 8_000_000_000) -> None:
+    """Raise unless a model's licence is one of those allowed and its number of parameters is known and within bounds."""
+    if licence not in licences or not isinstance(parameters, int) or not 0 < parameters <= most:
+        raise ValueError(f"the model can't be used: licence {licence}, parameters {parameters}")
+
+
+@dataclass
+class Gate:
+    """Bounds of a run: seconds, bytes of input, and the seconds that it would take at the pace so far."""
+
+    seconds: float
+    input_bytes: int | None = None
+    began: float = field(default_factory=time.monotonic)
+
+    def require_input(self, spark: SparkSession, paths: list[str]) -> int:
+        """The size of the files, which Hadoop's file systems tell; raises if it is over the bound."""
+        total = 0
+        for path in paths:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            total += place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+        if self.input_bytes is not None and total > self.input_bytes:
+            raise ValueError(f"{total} bytes of input; at most {self.input_bytes} are allowed")
+        return total
+
+    def projected(self, done: int, of: int, now: float | None = None) -> float:
+        """Seconds for all `of` steps at the pace of the `done` ones."""
+        return ((time.monotonic() if now is None else now) - self.began) / max(1, done) * of
+
+    def require_pace(self, done: int, of: int, now: float | None = None) -> float:
+        """Raise if time is up, or would be before the last step."""
+        now = time.monotonic() if now is None else now
+        if now - self.began > self.seconds or self.projected(done, of, now) > self.seconds:
+            raise TimeoutError(f"{self.projected(done, of, now):.0f} s projected, {self.seconds:.0f} allowed; no output is complete")
+        return self.projected(done, of, now)

@@ -17,6 +17,11 @@ def sample(rows: DataFrame, n: int, seed: int = 2026, by: str = "s1_id", without
     return rows.orderBy(hash_order(seed, by), by).limit(n)
 
 
+def fit_sample(pairs: DataFrame, n: int = 30_000, seed: int = 2026, by: str = "target_id") -> DataFrame:
+    """At most n of the distinct targets of pairs, for what is fitted on their texts."""
+    return sample(pairs.select(by).distinct(), n, seed, by)
+
+
 def bands(rows: DataFrame, shares: dict[str, float], seed: int = 2026, by: str = "s1_id") -> DataFrame:
     """rows with `split`: by the first 32 bits of the hash, cut at the shares. Disjoint, exhaustive, and without a global order."""
     place = F.conv(F.substring(hash_order(seed, by), 1, 8), 16, 10).cast("long") / float(1 << 32)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import platform
 import zipfile
 from datetime import UTC, datetime
 from pathlib import Path
@@ -18,8 +19,25 @@ from matchloom.sources.readers import id_list
 
 
 def write_lists(lists: DataFrame, path: str) -> None:
-    """One tab-separated file in the order of lists.position, which isn't written."""
-    rows = lists.repartitionByRange(1, "position").sortWithinPartitions("position").drop("position")
+    """Tab-separated files, each with the header, in the order of lists.position, which isn't written: sorted ranges that tasks write side by side."""
+    rows = lists.repartitionByRange("position").sortWithinPartitions("position").drop("position")
+    rows.write.option("sep", "\t").option("header", True).option("quote", "").option("emptyValue", "").csv(path)
+
+
+def concatenate(path: str, out: str) -> None:
+    """One local file, which mustn't exist, from the files of a table of lists: the header once, then all rows in order, a block at a time."""
+    with open(out, "xb") as to:
+        for n, part in enumerate(sorted(Path(path.removeprefix("file://")).glob("part-*"))):
+            with open(part, "rb") as f:
+                header = f.readline()
+                if n == 0:
+                    to.write(header)
+                while block := f.read(1 << 20):
+                    to.write(block)
+
+
+def write_scored(rows: DataFrame, path: str) -> None:
+    """Scored pairs or candidates as TSV with a header, in as many files as there are partitions."""
     rows.write.option("sep", "\t").option("header", True).option("quote", "").option("emptyValue", "").csv(path)
 
 
@@ -66,9 +84,18 @@ def append_experiment(spark, path: str, row: dict) -> None:  # noqa: ANN001
     spark.createDataFrame([{k: str(v) for k, v in row.items()}]).write.mode("append").json(path)
 
 
-def write_manifest(path: str, **facts: object) -> dict:
-    """Facts and the time as JSON, in a file that mustn't exist."""
-    manifest = {"created": datetime.now(UTC).isoformat(), **facts}
+def experiment_summary(spark, path: str, by: str = "name", best: str = "macro_f05") -> DataFrame:  # noqa: ANN001
+    """The best row of each experiment of a log, and how many it has; of equals that with the greatest text."""
+    rows = spark.read.json(path)
+    top = rows.groupBy(by).agg(F.max(F.struct(F.col(best).cast("double").alias("score"), F.struct(*rows.columns).alias("row"))).alias("x"), F.count("*").alias("runs"))
+    return top.select("x.row.*", "runs")
+
+
+def write_manifest(path: str, spark=None, inputs: dict[str, str] | None = None, commit: str | None = None, **facts: object) -> dict:  # noqa: ANN001
+    """Facts, digests of the lines of input files, a commit, versions and the time as JSON, in a file that mustn't exist."""
+    manifest = {"created": datetime.now(UTC).isoformat(), "commit": commit, "python": platform.python_version(), "inputs": {k: table_digest(spark.read.text(v)) for k, v in (inputs or {}).items()}, **facts}
+    if spark is not None:
+        manifest["spark"] = spark.version
     with open(path, "x") as f:
         json.dump(manifest, f, indent=1, sort_keys=True, default=str)
     return manifest
