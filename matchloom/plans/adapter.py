@@ -6,16 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.functions.text import normalize, tokens
+from matchloom.sources.staging import stage
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """entity_id, source, name (words 1 to 4 of the normalised text), address (words 5 to 12) and country of documents; the id's remainder by 3 gives the source."""
+    """entity_id, source, name, address and country of documents, staged: the texts are read once, whatever is done with the records.
+
+    A whole text is normalised; of its distinct words, those nearest to five letters first and those alike in the order of their letters, the first
+    four are the name and the next eight the address. The id's remainder by 3 gives the source.
+    """
+    rows = whole_texts(spark, sf_dir)
+    ranked = F.array_sort(F.transform(tokens(F.col("body")), lambda t: F.struct(F.abs(F.length(t) - 5).alias("n"), t.alias("t"))))
+    part = lambda at, n: F.concat_ws(" ", F.transform(F.slice("ranked", at, n), lambda x: x["t"]))
+    return stage(rows.select("entity_id", "source", ranked.alias("ranked"), "country").select("entity_id", "source", part(1, 4).alias("name"), part(5, 8).alias("address"), "country"))
+
+
+def whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """entity_id, source, body (the whole normalised text) and country of documents."""
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    words = F.filter(F.split(normalize(F.col("text"), compose=False), " "), lambda t: t != "")
     number = F.col("doc_id") % 3 + 1
-    part = lambda at, n: F.concat_ws(" ", F.slice("words", at, n))
-    out = rows.select(F.concat(F.lit("S"), number, F.lit("-"), "doc_id").alias("entity_id"), F.concat(F.lit("S"), number).alias("source"), words.alias("words"), F.coalesce("lang", F.lit("")).alias("country"))
-    return out.select("entity_id", "source", part(1, 4).alias("name"), part(5, 8).alias("address"), "country")
+    return rows.select(F.concat(F.lit("S"), number, F.lit("-"), "doc_id").alias("entity_id"), F.concat(F.lit("S"), number).alias("source"), normalize(F.col("text")).alias("body"), F.coalesce("lang", F.lit("")).alias("country"))
 
 
 def split(records: DataFrame) -> tuple[DataFrame, DataFrame]:
