@@ -91,7 +91,9 @@ def _parsed(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame | None
         return None, wrong("header", header)
     # The first line of the file is its header; another like it is a row as any other. The reader's own header option tells them apart.
     body = spark.read.schema("value string").option("header", True).option("sep", "\u0001").option("quote", "").option("enforceSchema", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path).where("value IS NOT NULL")
-    bad = _summary(kind, body.where(~F.contains("value", F.lit("\t")) & (F.trim("value") != "")).select(F.lit("no_tab").alias("rule"), F.col("value").alias("id")))
+    no_tab, no_utf8 = ~F.contains("value", F.lit("\t")) & (F.trim("value") != ""), F.contains("value", F.lit("\ufffd"))  # what bytes outside UTF-8 are read as
+    rules = F.explode(F.array_compact(F.array(F.when(no_tab, "no_tab"), F.when(no_utf8, "not_utf8")))).alias("rule")
+    bad = _summary(kind, body.select(rules, F.col("value").alias("id")))
     cut = body.where(F.contains("value", F.lit("\t"))).select(F.substring_index("value", "\t", 1).alias("s1_id"), F.expr("substring(value, instr(value, '\t') + 1)").alias("rest"))
     return cut.select("s1_id", F.when(F.trim("rest") == "", F.array().cast("array<string>")).otherwise(F.split("rest", ",")).alias("ids")), bad
 

@@ -444,3 +444,43 @@ def test_stream_equals_batch(spark, tmp_path):
     pick = lambda t: sorted(map(tuple, t.select("s1_id", "target_id", "blocking_rank").collect()))
     last = max(glob.glob(f"{tmp_path}/out/batch=*"), key=lambda f: int(f.rpartition("=")[2]))
     assert pick(spark.read.parquet(last)) == pick(blocking.candidates(s1, targets))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    """Train on labelled files, infer on others, validate and pack what comes out; and the other commands."""
+    from matchloom.__main__ import main
+
+    for part in ("train", "test"):
+        for s in (1, 2, 3):
+            rows = [f"S{s}-{i}\tHarbour {i} Traders\t{i if i % 4 or s == 1 else 900 + i} Wharf\t{'Chile' if i % 3 else 'Peru'}\n" for i in range(40, 0, -1)]
+            (tmp_path / f"{part}{s}.tsv").write_text("entity_id\tbusiness_name\tbusiness_address\tcountry\n" + "".join(rows))
+    (tmp_path / "labels.tsv").write_text("source1_entity_id\tmatched_entity_ids\n" + "".join(f"S1-{i}\t{f'S2-{i},S3-{i}' if i % 4 else ''}\n" for i in range(1, 41)))
+    config = {part: {f"s{s}": f"{part}{s}.tsv" for s in (1, 2, 3)} for part in ("train", "test")}
+    config["train"]["labels"] = "labels.tsv"
+    (tmp_path / "c.json").write_text(json.dumps(config))
+    common = ["--config", f"{tmp_path}/c.json"]
+    assert main(["train", *common, "--out", f"{tmp_path}/run", "--iterations", "3", "--k", "2"]) == 0
+    assert json.loads(capsys.readouterr().out.splitlines()[-1])["macro_f05"] > 0.8
+    assert main(["infer", *common, "--out", f"{tmp_path}/out", "--model", f"{tmp_path}/run"]) == 0
+    assert main(["package", *common, "--out", f"{tmp_path}/out", "--zip", f"{tmp_path}/out.zip"]) == 0
+    for name in ("matching_results", "candidate_pairs"):
+        sinks.concatenate(f"{tmp_path}/out/{name}.tsv", f"{tmp_path}/{name}.tsv")
+    assert [x.split("\t")[0] for x in (tmp_path / "matching_results.tsv").read_text().splitlines()[1:]] == [f"S1-{i}" for i in range(40, 0, -1)]
+    for s in (1, 2, 3):
+        (tmp_path / f"test_source{s}.tsv").write_text((tmp_path / f"test{s}.tsv").read_text())
+    assert main(["validate", f"{tmp_path}/matching_results.tsv", f"{tmp_path}/candidate_pairs.tsv", str(tmp_path), "--check-ids"]) == 0
+    (tmp_path / "linear.json").write_text(json.dumps({"weights": [0, 0, 1, 1, 0, 0, 0, 0, 0, 0], "intercept": -1.5, "threshold": 0.5}))
+    assert main(["exact", *common, "--out", f"{tmp_path}/exact", "--model", f"{tmp_path}/linear.json"]) == 0
+    assert readers.read_tsv(spark, f"{tmp_path}/exact/matching_results.tsv").where("matched_entity_ids <> ''").count() == 30
+    assert main(["audit", *common, "--out", f"{tmp_path}/audit"]) == 0
+    assert spark.read.json(f"{tmp_path}/audit/classes").first().asDict() == {"zero": 10, "many": 30, "one": 0}
+    assert main(["baseline", *common, "--out", f"{tmp_path}/base", "--k", "2"]) == 0
+    with pytest.raises(ValueError, match="bytes of input"):
+        main(["baseline", *common, "--out", f"{tmp_path}/big", "--input-bytes", "10"])
+
+
+def test_bytes_outside_utf8_are_a_finding(spark, tmp_path):
+    (tmp_path / "m").write_bytes(b"source1_entity_id\tmatched_entity_ids\nS1-1\tS2-\xff\n")
+    (tmp_path / "c").write_text("source1_entity_id\tcandidate_entity_ids\nS1-1\t\n")
+    spine = spark.createDataFrame([("S1-1",)], "s1_id string")
+    assert "not_utf8" in {r["rule"] for r in validate.official_findings(spark, f"{tmp_path}/m", f"{tmp_path}/c", spine).collect()}
