@@ -342,19 +342,23 @@ class WarcSource(DataSource):
 def with_revisits(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     """Records of pages(page_id, url, html): of equal payloads of at least so many bytes the one with the largest page_id is the response.
 
-    Which payloads are equal, their SHA-1 tells. Rows alike in id and payload are told apart by their place in the scan; a null id counts
-    as the smallest. Only digests and ids are grouped (combined before the shuffle); a join on the digest then gives each record its
+    Which payloads are equal, their SHA-1 tells. Of rows alike in id and payload one is the response; a null id counts as the smallest. Only digests and ids are grouped (combined before the shuffle); a join on the digest then gives each record its
     response. Records of a payload that a large share of all pages has aren't moved for that (`join_split`).
     """
     payload = F.encode(F.coalesce(pages["html"].cast("string"), F.lit("")), "UTF-8")
-    rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("target_uri"), payload.alias("payload"), F.monotonically_increasing_id().alias("place"))
-    rows = rows.select("*", F.sha1("payload").alias("sha1"))
+    rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("target_uri"), payload.alias("payload"))
     number = F.coalesce("page_id", F.lit(-(1 << 63)))
-    each = rows.groupBy("sha1", number.alias("id")).agg(F.count("*").alias("alike"), F.max("place").alias("place"))
-    best = each.groupBy("sha1").agg(F.max(F.struct("id", "alike", "place")).alias("first"), F.sum("alike").alias("n")).where("n > 1")
-    first = stage(best.select("sha1", F.col("first.id").alias("first_id"), F.col("first.alike").alias("alike"), F.col("first.place").alias("first_place"), "n"))
+    rows = rows.select("*", F.sha1("payload").alias("sha1"))
+    each = rows.groupBy("sha1", number.alias("id")).agg(F.count("*").alias("alike"))
+    best = each.groupBy("sha1").agg(F.max(F.struct("id", "alike")).alias("first"), F.sum("alike").alias("n")).where("n > 1")
+    first = stage(best.select("sha1", F.col("first.id").alias("first_id"), F.col("first.alike").alias("alike"), "n"))
+    other = number != F.col("first_id")
+    if not first.where("alike > 1").isEmpty():  # rows alike in id and payload: their places tell them apart, in a stored table that reads the same twice
+        rows = stage(rows.withColumn("place", F.monotonically_increasing_id()))
+        own = rows.groupBy("sha1", number.alias("first_id")).agg(F.max("place").alias("first_place"))
+        first = stage(first.join(own, ["sha1", "first_id"]))
+        other = other | (F.col("place") != F.col("first_place"))
     joined = join_split(rows, first, "sha1", "n", pages.count(), "left")
-    other = (number != F.col("first_id")) | ((F.col("alike") > 1) & (F.col("place") != F.col("first_place")))
     again = F.coalesce(other, F.lit(False)) & (F.octet_length("payload") >= min_revisit_bytes)
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     return joined.select(

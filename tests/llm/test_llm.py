@@ -561,7 +561,7 @@ def test_tokens_compare_words_not_hashes(docs):
 
 
 def test_every_licence_rule_finds_its_text_and_no_other():
-    """A text made from each rule's pattern is found, by the gate too; with its last word changed the rule says nothing."""
+    """A text made from each rule's pattern is found, by the gate too; with its first and last word changed the rule says nothing."""
     from re import _constants as C
     from re import _parser
 
@@ -593,7 +593,8 @@ def test_every_licence_rule_finds_its_text_and_no_other():
             assert text == b" ".join(text.translate(FOLD).split()), text  # folded already
             assert rule.pattern.fullmatch(text), text
             assert rule.keyword in {scanner.words.get(w) for w in text.split()}, text
-            assert not rule.pattern.search(b"x" + text[:-1] + b"qqq"), text
+            if not long:  # without its optional words
+                assert not rule.pattern.search(b"x" + text[:-1] + b"qqq"), text
 
 
 def detections_by_force(line):
