@@ -53,7 +53,10 @@ def text_view(raws: list[bytes]) -> np.ndarray:
     wide = data.astype(np.uint32)
     h = ((wide[:-2] * np.uint32(0x10001) + wide[1:-1] * np.uint32(0x101)) ^ wide[2:]) * np.uint32(0x9E3779B1)
     cells = (h >> np.uint32(32 - int(np.log2(BUCKETS)))).astype(np.int64)
-    counts = np.bincount(rows[: len(cells)] * BUCKETS + cells, minlength=n * BUCKETS).reshape(n, BUCKETS)
+    own = np.ones(len(data), dtype=bool)
+    own[np.cumsum(lengths) - 1] = own[np.cumsum(lengths) - 2] = False  # strings that begin between texts belong to none
+    own = own[: len(cells)]
+    counts = np.bincount(rows[: len(cells)][own] * BUCKETS + cells[own], minlength=n * BUCKETS).reshape(n, BUCKETS)
     out[:, :BUCKETS] = np.sqrt(counts / np.maximum(1, counts.sum(axis=1, keepdims=True)))
     kinds = np.bincount(rows * 8 + _CLASS[data], minlength=8 * n).reshape(n, 8)
     size = np.maximum(1, lengths - 2)
@@ -148,7 +151,7 @@ def platt(z: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None) -> tu
     """Slope and constant that calibrate log-odds z. A view that orders the rows wrongly gets a slope of 0: it then says nothing."""
     (a, b), _ = calibrate(z[:, None], y, weights)
     if a <= 0:
-        (b,), _ = calibrate(z[:, :0], y, weights)
+        (b,), _ = calibrate(z[:, None][:, :0], y, weights)
         a = 0.0
     return float(a), float(b)
 
@@ -162,8 +165,8 @@ class Model:
     combine: tuple[float, float, float] = (0.5, 0.5, 0.0)
 
     def views(self, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
-        """Calibrated log-odds of good quality by text and by metadata."""
-        return [s * odds(x, w) + c for x, w, (s, c) in zip((a, (b - self.scale[0]) / self.scale[1]), (self.text, self.meta), self.calibrations, strict=True)]
+        """Calibrated log-odds of good quality by text and by metadata, in double precision: the same however rows are cut into batches."""
+        return [s * odds(x.astype(np.float64), w.astype(np.float64)) + c for x, w, (s, c) in zip((a, (b.astype(np.float64) - self.scale[0]) / self.scale[1]), (self.text, self.meta), self.calibrations, strict=True)]
 
     def score(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Probabilities of good quality by text, by metadata and by both."""
@@ -193,7 +196,7 @@ def cotrain(a: np.ndarray, b: np.ndarray, y: np.ndarray, order: np.ndarray, roun
     train, held, last = (np.flatnonzero(f) for f in folds)
     if len({*y[train].tolist()}) < 2:
         return None
-    surest = surest or _from_rows(a, b, np.flatnonzero(~known))
+    surest = surest or _from_rows(a, b, np.flatnonzero(~known), order)
     centre, spread = b[train].mean(axis=0), b[train].std(axis=0) + 0.05
     scaled = lambda x: (x - centre) / spread
     shares = {v: float(weights[train][y[train] == v].sum() / weights[train].sum()) for v in (1, 0)}
@@ -236,20 +239,20 @@ def confidence(z: np.ndarray) -> np.ndarray:
     return np.round(chance(z) / STEP).astype(np.int64)
 
 
-def _from_rows(a: np.ndarray, b: np.ndarray, pool: np.ndarray) -> Callable[[Model, dict[int, int], float], list[Taught]]:
-    """What views are surest of among rows `pool` of a and b, which are in the order of their ids."""
+def _from_rows(a: np.ndarray, b: np.ndarray, pool: np.ndarray, order: np.ndarray) -> Callable[[Model, dict[int, int], float], list[Taught]]:
+    """What views are surest of among rows `pool` of a and b, which are in the order of their ids; it comes in the order of `order` and id."""
     told: list[set[int]] = [set(), set()]
 
     def surest(model: Model, most: dict[int, int], sure: float) -> list[Taught]:
         out = []
         for k, z in enumerate(model.views(a[pool], b[pool])):
-            good, rows, said = confidence(z), [], []
+            good, rows = confidence(z), []
             for value, how in ((1, good), (0, round(1 / STEP) - good)):
                 chosen = [i for i in np.argsort(-how, kind="stable").tolist() if how[i] >= round(sure / STEP) and i not in told[k]][: most[value]]
                 told[k].update(chosen)
-                rows += chosen
-                said += [value] * len(chosen)
-            out.append((a[pool[rows]], b[pool[rows]], np.array(said, dtype=np.float32)))
+                rows += [(order[pool[i]], i, value) for i in chosen]
+            own = [i for _, i, _ in sorted(rows)]
+            out.append((a[pool[own]], b[pool[own]], np.array([value for *_, value in sorted(rows)], dtype=np.float32)))
         return out
 
     return surest

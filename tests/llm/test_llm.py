@@ -799,7 +799,7 @@ def test_pipeline_on_odd_and_empty_tables(spark, odd, none, tmp_path):
         folder = f"{tmp_path}/{name}"
         table.write.parquet(f"{folder}/documents.parquet")
         spark.createDataFrame([(1, 1), (9, 0)], "doc_id long, quality int").limit(0).write.parquet(f"{folder}/labels.parquet")
-        spark.createDataFrame([(1, "lost id one two three")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        spark.createDataFrame([(1, "words that no text here has in a row")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
         found = corpus_pipeline.run(spark, folder).collect()
         assert {r["doc_id"] for r in found} == ({1} if name == "odd" else set())
 
