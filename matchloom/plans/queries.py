@@ -671,7 +671,7 @@ FROM tk LEFT JOIN cc USING (s1_id, target_id) LEFT JOIN cn USING (s1_id, target_
 def er_cosines(spark: SparkSession, d: str) -> DataFrame:
     s1, targets = _records(spark, d)
     pairs = stage(blocking.candidates(s1, targets, K_BEST).select("s1_id", "target_id"))
-    found = tfidf.with_cosines(pairs, s1, targets, None)
+    found = tfidf.with_cosines(pairs, s1, targets, None, None)
     return found.select("s1_id", "target_id", *[F.round(c, 6).alias(c) for c in found.columns[2:]])
 
 
